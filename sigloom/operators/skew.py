@@ -62,16 +62,18 @@ def hash_rank(df: DataFrame, key: str, seed: int | str, name: str = "rank") -> D
     )
 
 
-def ordinal_rank(df: DataFrame, group: str, position: str, name: str, width: int = 65536) -> DataFrame:
-    """1-based number over all rows in the order (``group``, ``position``).
+def ordinal_rank(
+    df: DataFrame, group: str, position: str, name: str, width: int = 65536, ties: Sequence[str] = ()
+) -> DataFrame:
+    """1-based number over all rows in the order (``group``, ``position``, ``ties``).
 
-    ``position`` is an integer that is unique inside a group, so a bucket of
-    ``width`` positions holds at most ``width`` rows, however large its group is.
+    ``position`` is an integer that only rows told apart by ``ties`` share, so a
+    bucket covers ``width`` positions, however large its group is.
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)).cast("bigint"))
     counts = bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _with_offsets(counts, [group, "_bucket"]).select(group, "_bucket", "_before")
-    inside = Window.partitionBy(group, "_bucket").orderBy(position)
+    inside = Window.partitionBy(group, "_bucket").orderBy(position, *ties)
     numbered = bucketed.withColumn("_in", F.row_number().over(inside))
     return (
         numbered.join(offsets, [group, "_bucket"])
