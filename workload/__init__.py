@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sequence_queries", "selection_queries", "distance_queries")
+_MODULES = ("sequence_queries", "selection_queries", "distance_queries", "evaluation_queries")
 
 
 def registry() -> list:
