@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sequence_queries", "selection_queries", "distance_queries", "evaluation_queries")
+_MODULES = (
+    "sequence_queries", "selection_queries", "distance_queries", "evaluation_queries", "learning_queries",
+)
 
 
 def registry() -> list:
