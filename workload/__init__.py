@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = (
     "sequence_queries", "selection_queries", "distance_queries", "evaluation_queries", "learning_queries",
+    "report_queries",
 )
 
 
