@@ -29,7 +29,7 @@ def check_k(k: int) -> int:
 def sanitize(seq: Column | str, keep_other_letters: bool = False) -> Column:
     """Delete everything outside upper-case ``ACGT``; letters around a gap become adjacent."""
     col = F.col(seq) if isinstance(seq, str) else seq
-    return col if keep_other_letters else F.regexp_replace(col, f"[^{ALPHABET}]", "")
+    return col if keep_other_letters else F.regexp_replace(col, f"[^{ALPHABET}]+", "")
 
 
 def fasta_header(record: Column | str) -> Column:

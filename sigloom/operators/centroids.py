@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.operators.models import MatrixModel
+from sigloom.operators.skew import salted_join
 
 
 def vector_cells(dataset: DataFrame, label: str, column: str) -> DataFrame:
@@ -65,7 +66,8 @@ def class_stats(features: DataFrame, samples: DataFrame, feature: str = "kmer",
     """
     sizes = samples.groupBy(F.col("group").alias("label")).agg(F.count(F.lit(1)).alias("size"))
     total = samples.agg(F.count(F.lit(1))).scalar()
-    cells = features.join(samples.select("sample_id", F.col("group").alias("label")), "sample_id").select(
+    labels = samples.select("sample_id", F.col("group").alias("label"))
+    cells = salted_join(features, labels, ["sample_id"], [feature]).select(
         "label", F.col(feature).alias("feature"), F.col(value).cast("double").alias("value")
     )
     sums = cells.groupBy("label", "feature").agg(

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mlc
-from pyspark.ml.feature import PolynomialExpansion, StringIndexer
+from pyspark.ml.feature import PolynomialExpansion, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,12 +191,15 @@ def fit_classifier(
     options = options or Options()
     if name not in RECIPES:
         raise ValueError(f"unknown classifier: {name}")
-    indexer = StringIndexer(inputCol="group", outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    rows = indexer.transform(train)
-    n = rows.count()
+    own = train.storageLevel == StorageLevel.NONE
+    if own:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = train.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r["n"] for r in sizes)
     if n == 0:
         raise ValueError("no training rows")
-    labels = list(indexer.labels)
+    labels = sorted(r["group"] for r in sizes)
+    rows = StringIndexerModel.from_labels(labels, inputCol="group", outputCol="label").transform(train)
     prepared, source, done = rows, "features", []
     if not options.skip_normalization:
         width = max(1, min(math.ceil(avg_nonzero * options.dim_reduce_fraction), width, n))
@@ -207,4 +210,6 @@ def fit_classifier(
     ctx = Context(n=n, n_classes=len(labels), width=width, source=source, options=options)
     head = Pipeline(stages=RECIPES[name].stages(ctx)).fit(prepared)
     prepared.unpersist()
+    if own:
+        train.unpersist()
     return FittedClassifier(name, labels, PipelineModel(stages=[*done, *head.stages]))

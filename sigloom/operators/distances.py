@@ -11,14 +11,14 @@ Every task therefore holds two bounded chunks, however skewed the data is.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 METRICS = ("manhat", "info")
 
@@ -229,8 +229,8 @@ def distances(
         "manhat": F.col("apart"),
         "info": F.coalesce(F.try_divide(either * 2 - F.col("present"), either), F.lit(0.0)),
     }
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), formulas[m].alias("d")) for m in wanted])
-    return parts.select("a", "b", F.explode(rows).alias("_m")).select("_m.metric", "a", "b", "_m.d")
+    wide = parts.select("a", "b", *[formulas[m].alias(m) for m in wanted])
+    return wide.unpivot(["a", "b"], wanted, "metric", "d").select("metric", "a", "b", "d")
 
 
 def set_sizes(features: DataFrame, samples: DataFrame, **options) -> DataFrame:

@@ -54,11 +54,12 @@ def kmer_counts(
     bases is spread over its k-mers.
     """
     rows = kmers(sequences, k, ids, as_text=False)
-    return (
-        rows.groupBy(*ids, "k", "kmer")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("kmer", F.col("kmer").cast("string"))
-    )
+    ks = [k] if isinstance(k, int) else sorted(set(k))
+    # a constant is no grouping key
+    keys = [*ids, "kmer"] if len(ks) == 1 else [*ids, "k", "kmer"]
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    one_k = F.lit(ks[0]) if len(ks) == 1 else F.col("k")
+    return counted.select(*ids, one_k.alias("k"), F.col("kmer").cast("string").alias("kmer"), "n")
 
 
 def kmer_frequencies(counts: DataFrame, ids: Sequence[str] = ("sample_id",)) -> DataFrame:

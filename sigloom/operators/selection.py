@@ -54,6 +54,11 @@ def with_dataset(groups: DataFrame, default: Mapping[str, str | None]) -> DataFr
     return groups.withColumns({part: col.cast("string") for part, col in filled.items()})
 
 
+def _entry_key(entries: DataFrame) -> str:
+    """The column that tells entries apart."""
+    return next((c for c in ("entry_no", "id", "sample_id") if c in entries.columns), entries.columns[0])
+
+
 def pick_group(metadata: DataFrame, groups: DataFrame, key: str, predicate: Column | None = None) -> DataFrame:
     """Entries whose value of ``key`` a group lists, tagged with its name: one row per (entry, group).
 
@@ -63,7 +68,7 @@ def pick_group(metadata: DataFrame, groups: DataFrame, key: str, predicate: Colu
     """
     exploded = groups.withColumn("_value", F.explode(F.array_distinct("values")))
     entries = metadata.withColumn("_value", F.col(key).cast("string"))
-    picked = salted_join(entries, exploded, ["_value"], [metadata.columns[0]]).drop("_value", "values")
+    picked = salted_join(entries, exploded, ["_value"], [_entry_key(metadata)]).drop("_value", "values")
     return picked if predicate is None else picked.where(predicate)
 
 
@@ -98,7 +103,7 @@ def union_groups(selections: list[DataFrame]) -> DataFrame:
 
 def with_group_options(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """Attach the options of each entry's group."""
-    return salted_join(entries, groups, ["group"], [entries.columns[0]])
+    return salted_join(entries, groups, ["group"], [_entry_key(entries)])
 
 
 def resolve_member(df: DataFrame) -> DataFrame:

@@ -26,8 +26,11 @@ def salted_join(
     of ``big`` is joined by ``salts`` tasks. When ``small`` turns out to be under
     the broadcast threshold Spark still broadcasts it and shuffles nothing.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
+    # a masked hash is never null: a nullable salt would be filtered far below the join, once per input row
+    salt = F.xxhash64(*[F.col(c) for c in salt_by]).bitwiseAND(F.lit(salts - 1).cast("bigint"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 

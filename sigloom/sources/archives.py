@@ -2,43 +2,73 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8_000_000
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for archive, wanted, content in zip(batch["archive"], batch["wanted"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                names = [n for n in opened.namelist() if not n.endswith("/")]
-                if wanted is not None:
-                    names = sorted(set(names).intersection(wanted))
-                for name in names:
-                    text = opened.read(name).decode("utf-8", "replace")
-                    yield pd.DataFrame({"archive": [archive], "member": [name], "content": [text]})
 
+def open_shared(uri: str):
+    """Seekable file on a shared file system, so that a reader fetches only what it needs."""
+    if uri.startswith("file:"):
+        return open("/" + unquote(uri.removeprefix("file:")).lstrip("/"), "rb")
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return store.open_input_file(path)
 
-def read_archive(spark: SparkSession, path: str, members: DataFrame | None = None) -> DataFrame:
+
+def _list_members(open_file: Callable):
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, path in zip(batch["archive"], batch["path"]):
+                with open_file(path) as raw, zipfile.ZipFile(raw) as opened:
+                    names = [n for n in opened.namelist() if not n.endswith("/")]
+                yield pd.DataFrame({"archive": archive, "path": path, "member": names})
+
+    return listing
+
+
+def _read_members(open_file: Callable):
+    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (archive, path), wanted in batch.groupby(["archive", "path"]):
+                with open_file(path) as raw, zipfile.ZipFile(raw) as opened:
+                    rows, held = [], 0
+                    for name in wanted["member"]:
+                        rows.append((archive, name, opened.read(name).decode("utf-8", "replace")))
+                        held += len(rows[-1][2])
+                        if held >= BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                            rows, held = [], 0
+                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+
+    return reading
+
+
+def read_archive(
+    spark: SparkSession, path: str, members: DataFrame | None = None, open_file: Callable = open_shared
+) -> DataFrame:
     """Members of zip files: ``(archive, member, content)``; ``archive`` is the file name without ``.zip``.
 
-    Each archive is opened once, in one task, and its members leave that task one
-    by one. With ``members(archive, member)`` only those are unpacked: the wanted
-    names travel to the archive they belong to.
+    The directory of each archive is listed first; then the members, not the
+    archives, are dealt over the tasks, so one large archive is read by many. A
+    ``members(archive, member)`` table restricts the read to those before any is
+    unpacked. ``open_file`` opens a path of the shared file system on a worker.
     """
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    files = files.select(F.regexp_replace(name, r"\.zip$", "").alias("archive"), "content")
-    if members is None:
-        files = files.withColumn("wanted", F.lit(None).cast("array<string>"))
-    else:
-        # the listed names are a subset of one archive's directory, which the task holds anyway
-        wanted = members.groupBy("archive").agg(F.collect_set("member").alias("wanted"))
-        files = files.join(wanted, "archive")
-    return files.select("archive", "wanted", "content").mapInPandas(
-        _unzip, "archive string, member string, content string"
+    # only the paths are selected: Spark does not read the contents
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    files = files.select(F.regexp_replace(name, r"\.zip$", "").alias("archive"), "path")
+    listed = files.mapInPandas(_list_members(open_file), "archive string, path string, member string")
+    if members is not None:
+        listed = listed.join(members.select("archive", "member").distinct(), ["archive", "member"], "left_semi")
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = listed.select("archive", "path", "member").repartition(slots, "archive", "member")
+    return dealt.sortWithinPartitions("archive", "member").mapInPandas(
+        _read_members(open_file), "archive string, member string, content string"
     )

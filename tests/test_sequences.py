@@ -80,8 +80,8 @@ def test_read_fasta_directory(spark, tmp_path):
     ]
     split = read_fasta(spark, str(tmp_path), with_headers=True, split_files=True).collect()
     assert sorted((r["file"], r["seq"]) for r in split) == sorted((r["file"], r["seq"]) for r in whole)
-    ordered = sorted(((r["record_no"], r["seq"]) for r in split if r["file"] == "x.fasta"))
-    assert [s for _, s in ordered] == ["ACGT", "GG", "TT"]
+    ordered = sorted(((r["record_no"], r["piece_no"], r["seq"]) for r in split if r["file"] == "x.fasta"))
+    assert [s for _, _, s in ordered] == ["ACGT", "GG", "TT"]
 
 
 def test_write_fasta_round_trip(spark, tmp_path):

@@ -37,10 +37,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequences: the ACGT letters of the upper-cased text."""
     from sigloom.functions.sequences import sanitize
 
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("sample_id"), "lang", "source", sanitize(F.upper("text")).alias("seq")
-    )
-    return spread(docs)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return docs.select(F.col("doc_id").alias("sample_id"), "lang", "source", sanitize(F.upper("text")).alias("seq"))
 
 
 def samples(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:

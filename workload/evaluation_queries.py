@@ -144,7 +144,7 @@ def class_sizes(spark, sf_dir):
 @REGISTRY.query('SELECT "group", CAST(row_number() OVER (ORDER BY "group") AS INTEGER) AS position FROM (SELECT DISTINCT source AS "group" FROM documents)')
 def sorted_classes(spark, sf_dir):
     rows = ranking.classes(samples(spark, sf_dir, "source"))
-    listed = rows.agg(F.collect_list("group").alias("_g"))
+    listed = rows.agg(F.array_sort(F.collect_list("group")).alias("_g"))
     return listed.select(F.posexplode("_g").alias("_p", "group")).select("group", (F.col("_p") + 1).alias("position"))
 
 

@@ -15,7 +15,7 @@ from workload.base import POINTS, Query, Registry, counts_sql, points, samples,
 REGISTRY = Registry()
 
 PLAIN = Options(skip_normalization=True)
-QUICK = Options(max_iter=10, rounds=5, parallelism=8)
+QUICK = Options(max_iter=5, rounds=5, parallelism=8)
 
 
 def _points(spark, sf_dir):
@@ -96,6 +96,7 @@ def _kmer_points_sql(k, value):
 
 
 def _fitted_scores(rows, name, width):
+    rows = rows.persist()
     fitted = fit_classifier(name, rows, width, avg_nonzero=width, options=PLAIN)
     return fitted.scores(rows.select("sample_id", "features"))
 
@@ -155,8 +156,7 @@ CV_CENTROID = f"""{POINT_FOLDS},
   LEFT JOIN best b ON b.actual = a.g AND b.cls = p.g GROUP BY ALL""")
 def cross_validated_confusion(spark, sf_dir):
     rows = _kmer_vectors(spark, sf_dir, 3, frequencies=True)
-    labelled = rows.select("sample_id", "group")
-    result = cross_validate(rows.select("sample_id", "features"), labelled, "nearest-centroid-mean", 3, seed=11, options=PLAIN)
+    result = cross_validate(rows.select("sample_id", "features"), samples(spark, sf_dir), "nearest-centroid-mean", 3, seed=11, options=PLAIN)
     return result.confusion.drop("classifier")
 
 
@@ -189,7 +189,7 @@ def _evaluation(name):
         rows = _points(spark, sf_dir)
         result = cross_validate(
             rows.select("sample_id", "features"), rows.select("sample_id", "group"), name, 2, seed=3,
-            options=Options(dim_reduce_fraction=0.2, max_iter=10, rounds=5, parallelism=8),
+            options=Options(dim_reduce_fraction=0.2, max_iter=5, rounds=5, parallelism=8),
         )
         return result.confusion
 
@@ -204,7 +204,7 @@ for _name in CLASSIFIER_NAMES:
 def evaluate_kmer_linear_svm(spark, sf_dir):
     rows = _kmer_vectors(spark, sf_dir, 4, frequencies=True)
     result = cross_validate(
-        rows.select("sample_id", "features"), rows.select("sample_id", "group", "source"), "linear-svm", 2, seed=3,
+        rows.select("sample_id", "features"), samples(spark, sf_dir), "linear-svm", 2, seed=3,
         split_by="source", options=QUICK,
     )
     return result.topn
@@ -213,7 +213,7 @@ def evaluate_kmer_linear_svm(spark, sf_dir):
 @REGISTRY.query()
 def predictions_of_final_model(spark, sf_dir):
     rows = _kmer_vectors(spark, sf_dir, 3, frequencies=True)
-    fitted = fit_final(rows.select("sample_id", "features"), rows.select("sample_id", "group"), "multilayer-perceptron", QUICK)
+    fitted = fit_final(rows.select("sample_id", "features"), samples(spark, sf_dir), "multilayer-perceptron", QUICK)
     return ranking.rank_predict(fitted.scores(rows.select("sample_id", "features")))
 
 

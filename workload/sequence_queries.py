@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import sequences as S
 from sigloom.operators import kmers as K
+from sigloom.session import spread
 from workload.base import SEQ, Registry, counts_sql, samples, sequences, table
 
 REGISTRY = Registry()
@@ -29,7 +30,7 @@ _WITH_HEADER = "concat('>', doc_id, chr(10), text)"
 
 
 def _as_fasta(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), F.col("text")).alias("content"))
 
 
