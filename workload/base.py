@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.session import spread
+from sigloom.session import checkpoint_dir, spread
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequences: the ACGT letters of the upper-cased text."""
     from sigloom.functions.sequences import sanitize

@@ -9,8 +9,11 @@ from sigloom.operators import centroids, kmers, ranking
 from sigloom.operators.classifiers import CLASSIFIER_NAMES, Options, fit_classifier
 from sigloom.operators.transforms import TruncatedSVD, UnitVarianceScaler, explained_variance_ratio
 from sigloom.operators.vectors import to_vectors
+from sigloom.operators.selection import groups_by_value
 from sigloom.plans.evaluate import cross_validate, evaluate, fit_final
-from workload.base import POINTS, Query, Registry, counts_sql, points, samples, sequences
+from sigloom.plans.job import Experiment, Job, run_job
+from sigloom.sources.results import read_results
+from workload.base import POINTS, Query, Registry, counts_sql, points, samples, scratch, sequences, table
 
 REGISTRY = Registry()
 
@@ -225,3 +228,68 @@ def cross_validation_timing(spark, sf_dir):
         options=QUICK,
     )
     return result.timing
+
+
+@REGISTRY.query(f"""WITH {POINTS}, {POINT_FOLDS},
+  d AS (SELECT x.sample_id, t.fold, t.actual, y.sample_id AS other, max(y."group") AS cls, round(sqrt(sum(pow(x.x - y.x, 2))), 9) AS d
+    FROM pts x JOIN folds t ON t.sample_id = x.sample_id JOIN pts y USING (j) JOIN folds u ON u.sample_id = y.sample_id AND u.fold <> t.fold
+    GROUP BY x.sample_id, t.fold, t.actual, y.sample_id),
+  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, other) AS r FROM d) WHERE r <= 10),
+  names AS (SELECT DISTINCT f.fold, u.actual AS cls FROM folds u JOIN (SELECT DISTINCT fold FROM folds) f ON f.fold <> u.fold),
+  votes AS (SELECT t.sample_id, t.fold, t.actual, c.cls, count(n.r) AS votes FROM folds t JOIN names c ON c.fold = t.fold
+    LEFT JOIN near n ON n.sample_id = t.sample_id AND n.cls = c.cls GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, cls DESC) AS rank FROM votes),
+  hits AS (SELECT fold, sample_id, min(CASE WHEN cls = actual THEN rank END) AS tr FROM ranked GROUP BY fold, sample_id)
+  SELECT CAST(n AS INTEGER) AS n, round(sum(acc) / 3, 9) AS accuracy FROM (
+    SELECT fold, n, avg(CASE WHEN tr <= n THEN 1.0 ELSE 0.0 END) AS acc FROM hits, generate_series(1, 9) t(n) GROUP BY fold, n) GROUP BY n""")
+def cross_validated_neighbors(spark, sf_dir):
+    rows = _points(spark, sf_dir)
+    result = cross_validate(
+        rows.select("sample_id", "features"), rows.select("sample_id", "group"), "10-nearest-neighbors", 3, seed=11, options=PLAIN
+    )
+    return result.topn.select("n", F.round("accuracy", 9).alias("accuracy"))
+
+
+def _job_sql(k):
+    return f"""SELECT 'lang-k={k}' AS run, round(sum(acc) / 3, 9) AS accuracy FROM (SELECT fold, avg(CASE WHEN cls = actual THEN 1.0 ELSE 0.0 END) AS acc FROM (
+    WITH {counts_sql(k)}, words AS (SELECT DISTINCT c.kmer AS j FROM counts c),
+    totals AS (SELECT sample_id, sum(n) AS total FROM counts GROUP BY sample_id),
+    kept AS (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 120),
+    named AS (SELECT sample_id, lang, concat(lpad(CAST(row_number() OVER (ORDER BY lang, sample_id) AS VARCHAR), 10, '0'), '.fasta') AS name
+      FROM seqs SEMI JOIN kept USING (lang)),
+    pts AS (SELECT m.name AS sample_id, m.lang AS "group", w.j, coalesce(c.n / t.total, 0.0) AS x FROM named m CROSS JOIN words w
+      LEFT JOIN counts c ON c.sample_id = m.sample_id AND c.kmer = w.j LEFT JOIN totals t ON t.sample_id = m.sample_id),
+    {CV_CENTROID} SELECT fold, actual, cls FROM best) GROUP BY fold)"""
+
+
+@REGISTRY.query(f"{_job_sql(2)} UNION ALL {_job_sql(3)}")
+def job_results(spark, sf_dir):
+    """A whole job over the documents: selection, features for two k, distances, evaluation, stored results."""
+    docs = table(spark, sf_dir, "documents")
+    metadata = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("entry_no"), F.col("lang").alias("subtype"))
+    archives = docs.select(
+        F.lit("docs").alias("archive"), F.concat("doc_id", F.lit(".fasta")).alias("member"),
+        F.concat(F.lit(">"), "doc_id", F.lit("\n"), F.upper("text")).alias("content"),
+    )
+    job = Job(
+        name="documents",
+        experiments={
+            "lang": Experiment(
+                groups=lambda options, meta: groups_by_value(meta, options["selection_key"], options["min_group_pts"]),
+                dataset={"archive": "docs", "metadata": "docs"},
+                options={"selection_key": "subtype", "min_group_pts": 120},
+                expand={"k": "2..3"},
+            )
+        },
+        steps=[
+            {"type": "kmers", "output_file": "cgrs", "mode": "frequencies", "k": "from_options"},
+            {"type": "distances", "input_file": "cgrs", "output_prefix": "dists", "distances": ["info"]},
+            {"type": "classify", "features_file": "cgrs", "output_file": "classification-kmers.json", "validation_count": 3,
+             "classifiers": ["nearest-centroid-mean"], "skip_normalization": True, "save_model": False},
+        ],
+        metadata=metadata, archives=archives, pick_group="subtype", seed=11,
+    )
+    output = scratch(spark, "job")
+    run_job(spark, job, output)
+    found = read_results(spark, f"{output}/documents")
+    return found.select("run", F.round("accuracy", 9).alias("accuracy"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -15,9 +14,8 @@ from sigloom.operators.classifiers import Options
 from sigloom.plans import report
 from sigloom.plans.evaluate import fit_final
 from sigloom.plans.predict import kmer_vectors, predict_sequences
-from sigloom.session import checkpoint_dir
 from sigloom.sources import archives, fasta, models, results, tables
-from workload.base import SEQ, Registry, counts_sql, samples, sequences, table
+from workload.base import SEQ, Registry, counts_sql, samples, scratch, sequences, table
 
 REGISTRY = Registry()
 
@@ -175,11 +173,6 @@ def experiment_summary(spark, sf_dir):
     return made.withColumn("best_accuracy", F.round("best_accuracy", 7))
 
 
-def scratch(spark, name):
-    """A folder of its own in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @REGISTRY.query(f"WITH {counts_sql(2, 3)} SELECT sample_id, kmer, n FROM counts WHERE k = 2")
 def feature_table_round_trip(spark, sf_dir):
     path = scratch(spark, "features")
