@@ -26,6 +26,8 @@ TREES = 10
 ROUNDS = 50
 HIDDEN = 100
 ALPHA = 1e-4
+# every step is a pass over the training rows, so it matters when to stop
+TOLERANCE = {"hinge": 1e-3, "logistic": 1e-4}
 MAX_DEPTH = 30
 MAX_EXPANDED = 200_000
 
@@ -65,7 +67,7 @@ def _linear(ctx: Context, loss: str, penalty: float, source: str | None = None)
     return [
         OneVsRestLinear(
             inputCol=source or ctx.source, outputCol=answer, loss=loss, regParam=penalty,
-            maxIter=ctx.iterations(100), parallelism=ctx.options.parallelism,
+            maxIter=ctx.iterations(100), tol=TOLERANCE[loss], parallelism=ctx.options.parallelism,
         )
     ]
 

@@ -7,12 +7,12 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasMaxIter, HasOutputCol, HasParallelism, HasRegParam, HasSeed
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasMaxIter, HasOutputCol, HasParallelism, HasRegParam, HasSeed, HasTol
 
 from sigloom.operators.models import MatrixModel
 
 
-class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxIter, HasRegParam, HasParallelism):
+class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxIter, HasRegParam, HasParallelism, HasTol):
     """One linear model per class, trained side by side by Spark ML.
 
     The fitted coefficients are stacked into one matrix, so that scoring is a single
@@ -24,17 +24,19 @@ class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxI
 
     @keyword_only
     def __init__(
-        self, *, inputCol=None, labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, parallelism=4
+        self, *, inputCol=None, labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3,
+        parallelism=4
     ):
         super().__init__()
-        self._setDefault(labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, parallelism=4)
+        self._setDefault(labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3, parallelism=4)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
         column, label = self.getInputCol(), self.getLabelCol()
         logistic = self.getOrDefault(self.loss) == "logistic"
         base = (LogisticRegression if logistic else LinearSVC)(
-            featuresCol=column, labelCol=label, regParam=self.getRegParam(), maxIter=self.getMaxIter(), standardization=False
+            featuresCol=column, labelCol=label, regParam=self.getRegParam(), maxIter=self.getMaxIter(), tol=self.getTol(),
+            standardization=False
         )
         rest = OneVsRest(classifier=base, featuresCol=column, labelCol=label, parallelism=self.getParallelism())
         models = rest.fit(dataset).models

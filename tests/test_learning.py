@@ -24,7 +24,7 @@ def blobs(spark):
     return df.select("sample_id", array_to_vector("v").alias("features"), "group").persist()
 
 
-SETTINGS = Options(skip_normalization=True, max_iter=20, rounds=8, parallelism=3)
+SETTINGS = Options(skip_normalization=True, max_iter=6, rounds=8, parallelism=3)
 
 
 @pytest.mark.parametrize("name", CLASSIFIER_NAMES)
@@ -109,7 +109,7 @@ def test_job_summary_and_prediction(spark, tmp_path):
             {"type": "distances", "input_file": "cgr-counts", "output_prefix": "dists", "distances": ["manhat"]},
             {"type": "mds", "dists_file": "dists-manhat", "dimensions": 4, "output_file": "mds10-manhat.json"},
             {"type": "classify", "features_file": "cgrs", "output_file": "classification-kmers.json", "validation_count": 3,
-             "classifiers": ["linear-svm", "nearest-centroid-mean", "gaussian-naive-bayes"], "max_iter": 20, "dim_reduce_fraction": 0.5},
+             "classifiers": ["linear-svm", "nearest-centroid-mean", "gaussian-naive-bayes"], "max_iter": 3, "dim_reduce_fraction": 0.5},
             {"type": "classify", "features_file": "dists-manhat", "output_file": "classification-manhat.json", "validation_count": 2,
              "classifiers": ["nearest-centroid-mean"]},
         ],
