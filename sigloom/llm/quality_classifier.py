@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import textstats
 from sigloom.llm.common import Query, crc_bucket, documents, keep_rows, labels, narrow
-from sigloom.llm.textops import buffers
+from sigloom.llm.textops import buffers, small
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, marks: DataFrame, settings: Settings = Settings()) -> M
     rows, prior = training_rows(docs, marks, settings)
 
     def featured(batches):
-        for batch in batches:
+        for batch in small(batches):
             made = features(batch.column("text"))
             cells = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), cells], ["doc_id", "positive", "features"])
@@ -156,7 +156,7 @@ def quality_scores(docs: DataFrame, model: Model, settings: Settings = Settings(
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def score(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = shared.value.scores(features(batch.column("text")))
             names = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, "score"])

@@ -66,6 +66,19 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def small(batches, limit: int = 4 << 20, column: str = "text"):
+    """Slices of Arrow batches with about ``limit`` bytes of text each (at least one row), so that a task's arrays stay small."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        _, at = buffers(batch.column(column))
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data - np.uint8(9)) <= 4)
 
