@@ -9,38 +9,19 @@ windows share their entries. A second pass groups exactly only the windows whose
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, narrow, stored
+from sigloom.llm.sketch import Sketch, count_bits
 from sigloom.llm.textops import Words, covered, ids_of, mix, rolling, signed, sliding_min, small
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
-@dataclass(frozen=True)
-class Sketch:
-    """Shape of the sketch: ``rows`` hash rows of 2^``bits`` saturating cells, handled in blocks of 2^``block_bits``.
-
-    Its size is fixed, so the merged bit table (2^bits * rows / 8 bytes) may be sent to every worker; more windows than it
-    tells apart only mean that more of them are grouped exactly.
-    """
-
-    rows: int = 3
-    bits: int = 26
-    block_bits: int = 18
-
-    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
-        salt = np.uint64((0x9E3779B97F4A7C15 * (2 * row + 1)) % 2**64)
-        return mix(keys ^ salt) >> np.uint64(64 - self.bits)
-
-
 def window_keys(hashes: np.ndarray, width: int) -> np.ndarray:
     """Minimizer of every window of ``width`` words: the least hash of the runs of half that length inside it."""
     run = max(1, width // 2)
@@ -57,79 +38,13 @@ def _batched_windows(column: pa.Array, width: int) -> tuple[Words, np.ndarray, n
     return words, starts, window_keys(words.hashes, width)[starts], rows[starts]
 
 
-def sketch_parts(width: int, sketch: Sketch):
-    """Batches of texts -> this partition's sketch: per block, its cells with their counts (1 or at least 2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: list[list[np.ndarray]] = [[] for _ in range(sketch.rows)]
-        held = [0]
-
-        def reduced(parts: list[np.ndarray]) -> np.ndarray:
-            """Cells in order, each at most twice."""
-            cells = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            third = np.zeros(len(cells), bool)
-            third[2:] = cells[2:] == cells[:-2]
-            return cells[~third]
-
-        for batch in small(batches):
-            _, _, keys, rows = _batched_windows(batch.column("text"), width)
-            change = np.ones(len(keys), bool)
-            change[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-            keys, rows = keys[change], rows[change]
-            own = keys[np.unique(keys ^ mix(rows.astype(np.uint64)), return_index=True)[1]]
-            for row in range(sketch.rows):
-                once[row].append(sketch.cells(own, row))
-            held[0] += len(own)
-            if held[0] > 4_000_000:  # keeps a task's memory bounded however many rows it reads
-                once = [[reduced(parts)] for parts in once]
-                held[0] = len(once[0][0])
-        mask = np.uint64((1 << sketch.block_bits) - 1)
-        for row in range(sketch.rows):
-            cells = reduced(once[row])
-            blocks = (cells >> np.uint64(sketch.block_bits)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(blocks)) + 1
-            parts = np.split((cells & mask).astype(np.uint32), cut)
-            named = blocks[np.concatenate(([0], cut))] if len(cells) else blocks
-            per_row = 1 << (sketch.bits - sketch.block_bits)
-            if len(cells):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(named + row * per_row), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "cells"]
-                )
-
-    return run
-
-
-def merged_block(parts: pd.DataFrame, block_bits: int) -> pd.DataFrame:
-    """Bit table of one block: set where the partitions' counts sum to two or more; no row when none is."""
-    counts = np.zeros(1 << block_bits, np.uint8)
-    for raw in parts["cells"]:
-        cells = np.frombuffer(raw, np.uint32)
-        again = cells[1:][cells[1:] == cells[:-1]]
-        counts[cells] = np.minimum(counts[cells] + 1, 2)
-        counts[again] = 2
-    if not (counts > 1).any():
-        return pd.DataFrame({"block": [], "bits": []})
-    return pd.DataFrame({"block": [parts["block"].iloc[0]], "bits": [np.packbits(counts > 1).tobytes()]})
-
-
-def repeated_bits(texts: DataFrame, width: int, sketch: Sketch) -> np.ndarray:
-    """Merged sketch, as one bit per cell: estimated two or more. Its size is set by ``sketch`` alone."""
-    parts = texts.select("text").mapInArrow(sketch_parts(width, sketch), "block bigint, cells binary")
-    block_bits = sketch.block_bits
-    merged = parts.groupBy("block").applyInPandas(lambda pdf: merged_block(pdf, block_bits), "block bigint, bits binary")
-    per_row = 1 << (sketch.bits - sketch.block_bits)
-    out = np.zeros((sketch.rows * per_row, (1 << sketch.block_bits) // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(sketch.rows, -1)
-
-
-def estimated_repeated(keys: np.ndarray, bits: np.ndarray, sketch: Sketch) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for row in range(sketch.rows):
-        cells = sketch.cells(keys, row)
-        found &= (bits[row][(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return found
+def document_keys(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The minimizers of a batch's windows, once per document and value."""
+    _, _, keys, rows = _batched_windows(batch.column("text"), width)
+    change = np.ones(len(keys), bool)
+    change[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    keys, rows = keys[change], rows[change]
+    return keys[np.unique(keys ^ mix(rows.astype(np.uint64)), return_index=True)[1]]
 
 
 def removed_windows(texts: DataFrame, width: int, sketch: Sketch) -> DataFrame:
@@ -138,12 +53,14 @@ def removed_windows(texts: DataFrame, width: int, sketch: Sketch) -> DataFrame:
     Windows estimated repeated are grouped by a 128-bit digest of their words. The grouping combines inside every task
     before it shuffles; the join back splits hot digests.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts, width, sketch))
+    shared = texts.sparkSession.sparkContext.broadcast(
+        count_bits(texts.select("text"), lambda batch: document_keys(batch, width), sketch, 2)
+    )
 
     def candidates(batches):
         for batch in small(batches):
             words, starts, keys, rows = _batched_windows(batch.column("text"), width)
-            found = estimated_repeated(keys, shared.value, sketch)
+            found = sketch.marked(keys, shared.value)
             starts, rows = starts[found], rows[found]
             digests = [signed(rolling(values, width)[starts]) for values in (words.hashes, mix(words.hashes ^ _SECOND))] if len(starts) else [starts, starts]
             ranks = ids_of(batch.column("doc_id"))
