@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import Query, documents, narrow
 
 THRESHOLD = 0.8
+#: template bigrams up to this many (some ten megabytes) are sent to every task; more are joined by a shuffle
+BROADCAST_ROWS = 100_000
 #: notices and openings of well-known licences
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
@@ -62,8 +64,9 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     spark = docs.sparkSession
     bags = {name: bag for name, text in templates.items() if (bag := template_bigrams(text))}
     known = [(name, bigram, n, bag.total(), *size_bounds(bag.total(), threshold)) for name, bag in bags.items() for bigram, n in bag.items()]
-    # a local relation: Spark broadcasts it only below its own size threshold
     table = spark.createDataFrame(known, "license string, bigram string, known int, t_size int, low int, high int")
+    if len(known) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     least, most = min((k[4] for k in known), default=1), max((k[5] for k in known), default=0)
     rows = narrow(docs).select("doc_id", "row", normal_lines(F.col("text")).alias("normal"))
     lines = F.split("normal", "\n")
