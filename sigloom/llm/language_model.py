@@ -187,6 +187,8 @@ class Model:
     def statistics(self, numbers: np.ndarray) -> np.ndarray:
         """Per word number: continuations; pairs it begins: total, and how many occur once, twice, more often."""
         out = np.zeros((len(numbers), 5), np.int64)
+        if not self.n_pairs:
+            return out
         where = np.where(numbers >= 0, numbers // self.span, -1)
         for k in np.unique(where[where >= 0]):
             own = np.flatnonzero(where == k)
