@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mlc
-from pyspark.ml.feature import PolynomialExpansion, StringIndexerModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sigloom.operators.boosting import AdaBoost
 from sigloom.operators.centroids import NearestCentroid
 from sigloom.operators.discriminant import LDA, QDA
-from sigloom.operators.margins import FourierFeatures, OneVsRestLinear
+from sigloom.operators.margins import FourierFeatures, OneVsRestLinear, PolynomialSketch
 from sigloom.operators.neighbors import KNN
 from sigloom.operators.transforms import TruncatedSVD, UnitVarianceScaler
 
@@ -28,13 +28,19 @@ HIDDEN = 100
 ALPHA = 1e-4
 # every step is a pass over the training rows, so it matters when to stop
 TOLERANCE = {"hinge": 1e-3, "logistic": 1e-4}
-MAX_DEPTH = 30
-MAX_EXPANDED = 200_000
+MAX_DEPTH = 30  # the deepest that Spark ML grows
+BINS = 256
+FOURIER_SIZE = 256
+SKETCH_SIZE = 1024
 
 
 @dataclass(frozen=True)
 class Options:
-    """Training options of one evaluation."""
+    """Training options of one evaluation.
+
+    ``fourier_size`` and ``sketch_size`` are the numbers of features that stand for the radial and the polynomial kernels,
+    ``max_depth`` and ``max_bins`` (split candidates per feature) are those of the trees.
+    """
 
     skip_normalization: bool = False
     dim_reduce_fraction: float = 0.1
@@ -42,6 +48,10 @@ class Options:
     max_iter: int | None = None
     rounds: int = ROUNDS
     parallelism: int = 4
+    fourier_size: int = FOURIER_SIZE
+    sketch_size: int = SKETCH_SIZE
+    max_depth: int = MAX_DEPTH
+    max_bins: int = BINS
 
 
 @dataclass(frozen=True)
@@ -88,16 +98,21 @@ def _sgd(ctx: Context) -> list:
 
 def _poly(degree: int) -> Callable[[Context], list]:
     def stages(ctx: Context) -> list:
-        size = math.comb(ctx.width + degree, degree) - 1
-        if size > MAX_EXPANDED:
-            raise ValueError(f"degree {degree} of {ctx.width} dimensions makes {size} terms; reduce the dimensions first")
-        return [PolynomialExpansion(degree=degree, inputCol=ctx.source, outputCol="expanded"), *_svm(ctx, "expanded")]
+        sketch = PolynomialSketch(
+            inputCol=ctx.source, outputCol="expanded", size=ctx.options.sketch_size, degree=degree, seed=ctx.options.seed
+        )
+        return [sketch, *_svm(ctx, "expanded")]
 
     return stages
 
 
 def _rbf(ctx: Context) -> list:
-    return [FourierFeatures(inputCol=ctx.source, outputCol="waves", seed=ctx.options.seed), *_svm(ctx, "waves")]
+    waves = FourierFeatures(inputCol=ctx.source, outputCol="waves", size=ctx.options.fourier_size, seed=ctx.options.seed)
+    return [waves, *_svm(ctx, "waves")]
+
+
+def _tree(ctx: Context) -> dict:
+    return {"maxDepth": ctx.options.max_depth, "maxBins": ctx.options.max_bins, "seed": ctx.options.seed, **ctx.common}
 
 
 def _perceptron(ctx: Context) -> list:
@@ -128,14 +143,9 @@ RECIPES: dict[str, Recipe] = {
     "cubic-svm": Recipe(_poly(3), "scores"),
     "rbf-svm": Recipe(_rbf, "scores"),
     "decision-tree": Recipe(
-        lambda c: [mlc.DecisionTreeClassifier(maxDepth=MAX_DEPTH, seed=c.options.seed, **c.common)], "probability"
-    ),
-    "random-forest": Recipe(
-        lambda c: [
-            mlc.RandomForestClassifier(numTrees=TREES, maxDepth=MAX_DEPTH, seed=c.options.seed, **c.common)
-        ],
-        "probability",
+        lambda c: [mlc.DecisionTreeClassifier(**_tree(c))], "probability"
     ),
+    "random-forest": Recipe(lambda c: [mlc.RandomForestClassifier(numTrees=TREES, **_tree(c))], "probability"),
     "adaboost": Recipe(
         lambda c: [AdaBoost(inputCol=c.source, rounds=c.options.rounds, nClasses=c.n_classes)], "probability"
     ),
@@ -158,12 +168,16 @@ def preparation(source: str, components: int) -> list:
 
 @dataclass
 class FittedClassifier:
-    """A fitted pipeline with its class names; ``scores`` reads it out in long form."""
+    """A fitted pipeline with its class names; ``scores`` reads it out in long form.
+
+    ``index`` numbers the k-mers of its vectors, for features made of sequences.
+    """
 
     name: str
     labels: list[str]
     model: PipelineModel
     generation: dict = field(default_factory=dict)
+    index: DataFrame | None = None
 
     @property
     def has_probabilities(self) -> bool:

@@ -1,4 +1,4 @@
-"""Linear one-versus-rest models, and the random feature map of the radial kernel."""
+"""Linear one-versus-rest models, and random feature maps of the radial and polynomial kernels."""
 
 from __future__ import annotations
 
@@ -71,3 +71,32 @@ class FourierFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed):
             inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel="fourier", width=int(width),
             parts={"axes": axes, "phase": phase},
         )
+
+
+class PolynomialSketch(Estimator, HasInputCol, HasOutputCol, HasSeed):
+    """Features whose inner products approximate ``(gamma x.y) ** degree`` without a constant term.
+
+    ``gamma`` is one over the input width. The number of features is the same at every width; its inverse root
+    is the relative error of a kernel value.
+    """
+
+    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
+    degree = Param(Params._dummy(), "degree", "degree of the kernel", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, size=1024, degree=2, seed=0):
+        super().__init__()
+        self._setDefault(size=1024, degree=2, seed=0)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset):
+        width = dataset.select(self.getInputCol()).first()[0].size
+        size, degree = self.getOrDefault(self.size), self.getOrDefault(self.degree)
+        random = np.random.default_rng(self.getSeed())
+        parts = {
+            "buckets": random.integers(0, size, (degree, width)), "signs": random.choice([-1.0, 1.0], (degree, width)),
+            "size": np.array([size]), "gamma": np.array([1.0 / width]),
+        }
+        return MatrixModel(
+            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel="tensor_sketch", width=int(width), parts=parts
+        )

@@ -29,10 +29,19 @@ def fourier(x, parts):
     return waves * np.sqrt(2.0 / waves.shape[1])
 
 
+def tensor_sketch(x, parts):
+    """Features whose inner products approximate ``(gamma x.y) ** degree``: count sketches multiplied as spectra."""
+    size, gamma = int(parts["size"][0]), float(parts["gamma"][0])
+    spectrum = np.ones((len(x), size // 2 + 1), complex)
+    for buckets, signs in zip(parts["buckets"].astype(int), parts["signs"]):
+        sketch = np.zeros((size, len(x)))
+        np.add.at(sketch, buckets, (x * signs * np.sqrt(gamma)).T)
+        spectrum *= np.fft.rfft(sketch.T, axis=1)
+    return np.fft.irfft(spectrum, n=size, axis=1)
+
+
 def nearest_euclidean(x, parts):
-    c = parts["centroids"]
-    squared = (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)
-    return -np.round(np.sqrt(np.maximum(squared, 0.0)), 9)
+    return -np.round(np.stack([np.sqrt(np.square(x - c).sum(axis=1)) for c in parts["centroids"]], axis=1), 9)
 
 
 def nearest_manhattan(x, parts):
@@ -76,7 +85,7 @@ def stump_probability(x, parts):
 KERNELS = {
     f.__name__: f
     for f in (
-        project, fourier, nearest_euclidean, nearest_manhattan, linear, linear_probability,
+        project, fourier, tensor_sketch, nearest_euclidean, nearest_manhattan, linear, linear_probability,
         logistic_probability, gaussian_probability, stump_probability,
     )
 }

@@ -35,23 +35,42 @@ def _block_neighbors(width: int, k: int):
         right = right.sort_by("neighbor")
         x = dense_rows(left["vector"].combine_chunks(), width)
         y = dense_rows(right["vector"].combine_chunks(), width)
-        squared = (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)
-        d = np.round(np.sqrt(np.maximum(squared, 0.0)), 9)
-        # neighbours come in id order, so a stable sort breaks ties by id
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best, d = _nearest_rows(x, y, k)
         flat = pa.array(best.ravel())
         return pa.table(
             {
                 "sample_id": left["sample_id"].take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))),
                 "neighbor": right["neighbor"].take(flat),
                 "label": right["label"].take(flat),
-                "d": np.take_along_axis(d, best, axis=1).ravel(),
+                "d": d.ravel(),
             }
         )
 
     return nearest
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``y`` nearest to every row of ``x`` and their distances; ties go to the earlier row.
+
+    The product of the matrices only sorts out rows that rounding cannot bring among the nearest. The
+    distances themselves are sums of squared differences, which do not depend on the other rows of a block.
+    """
+    k = min(k, len(y))
+    x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    squared = x2[:, None] - 2 * (x @ y.T) + y2
+    error = 8 * (x.shape[1] + 2) * np.finfo(float).eps * (x2 + y2.max())
+    limit = np.partition(squared, k - 1, axis=1)[:, k - 1] + 2 * error + 1e-300
+    # rounded distances may tie beyond the k-th: half a unit of the rounding is let in as well
+    limit = np.square(np.sqrt(np.maximum(limit, 0)) + 1e-9)
+    best, d = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+    for i in range(len(x)):
+        near = np.flatnonzero(squared[i] <= limit[i])
+        own = np.round(np.sqrt(np.square(y[near] - x[i]).sum(axis=1)), 9)
+        order = np.argsort(own, kind="stable")[:k]
+        best[i], d[i] = near[order], own[order]
+    return best, d
+
+
 def nearest_neighbors(points: DataFrame, train: DataFrame, column: str, width: int, k: int) -> DataFrame:
     """The ``k`` nearest training rows of every point: ``(sample_id, neighbor, label, d, rank)``.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.sequences import kmer_code
+from sigloom.operators.skew import hash_rank, salted_join
 
 CELLS_PER_PANEL = 4_000_000
 
@@ -54,12 +55,12 @@ def dense_rows(vectors: pa.StructArray, width: int) -> np.ndarray:
     if not sparse.any():
         return v_flat[v_at[0] : v_at[-1]].reshape(n, width)
     i_flat, i_at = indices.values.to_numpy(zero_copy_only=False), indices.offsets.to_numpy()
-    for row in range(n):
-        entries = v_flat[v_at[row] : v_at[row + 1]]
-        if sparse[row]:
-            out[row, i_flat[i_at[row] : i_at[row + 1]]] = entries
-        else:
-            out[row] = entries
+    sizes = np.diff(v_at)
+    row = np.repeat(np.arange(n), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stored = i_flat[i_at[0] : i_at[-1]]
+    column[sparse[row]] = stored[: int(sizes[sparse].sum())]
+    out[row, column] = v_flat[v_at[0] : v_at[-1]]
     return out
 
 
@@ -78,19 +79,29 @@ def map_rows(column: str, width: int, kernel: Callable[[np.ndarray], np.ndarray]
     return run(F.unwrap_udt(column))
 
 
-def to_vectors(features: DataFrame, samples: DataFrame, k: int, value: str = "n") -> DataFrame:
-    """``(sample_id, features)`` for every sample: a sparse vector over all 4^k k-mers.
+def kmer_index(features: DataFrame) -> DataFrame:
+    """Numbers of the k-mers that occur: ``(kmer, i)``, from 0 in the order of a hash.
 
-    A sample without k-mers gets the zero vector. The index is the base-4 number of
-    the k-mer, so no dictionary has to be built or joined.
+    One distributed distinct and a numbering inside hash buckets; it belongs to a model as its coefficients do.
     """
-    if k > 15:
-        raise ValueError("a vector index is a 32-bit number: k must not exceed 15")
-    cells = features.select(
-        "sample_id", kmer_code("kmer", k).cast("int").alias("i"), F.col(value).cast("double").alias("v")
-    )
+    return hash_rank(features.select("kmer").distinct(), "kmer", "kmers", "i").select("kmer", F.col("i").cast("int").alias("i"))
+
+
+def to_vectors(features: DataFrame, samples: DataFrame, k: int, value: str = "n", index: DataFrame | None = None) -> DataFrame:
+    """``(sample_id, features)`` for every sample: a sparse vector over the k-mers of ``index``.
+
+    K-mers outside the index are left out: no model knows them. Without an index, entries are the base-4 numbers of the
+    k-mers (their order is the alphabet's), which fit a vector up to k = 15. A sample without k-mers gets the zero vector.
+    """
+    if index is None:
+        if k > 15:
+            raise ValueError("beyond k = 15 vectors need an index of the observed k-mers: see kmer_index")
+        cells, width = features.withColumn("i", kmer_code("kmer", k).cast("int")), 4**k
+    else:
+        cells, width = salted_join(features, index, ["kmer"], ["sample_id"]), max(1, index.count())
+    cells = cells.select("sample_id", "i", F.col(value).cast("double").alias("v"))
     rows = cells.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_c"))
     whole = samples.select("sample_id").distinct().join(rows, "sample_id", "left")
     indices = F.coalesce(F.col("_c.i"), F.array().cast("array<int>"))
     values = F.coalesce(F.col("_c.v"), F.array().cast("array<double>"))
-    return whole.select("sample_id", sparse_vector(indices, values, 4**k).alias("features"))
+    return whole.select("sample_id", sparse_vector(indices, values, width).alias("features"))

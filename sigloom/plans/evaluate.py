@@ -157,11 +157,12 @@ def evaluate(
 
 def fit_final(
     features: DataFrame, samples: DataFrame, classifier: str, options: Options | None = None, width: int | None = None,
-    generation: dict | None = None,
+    generation: dict | None = None, index: DataFrame | None = None,
 ) -> FittedClassifier:
-    """Fit on all samples; ``generation`` records how the features were made (mode, k)."""
+    """Fit on all samples; ``generation`` records how the features were made (mode, k), ``index`` numbers their k-mers."""
     table = features.join(samples.select("sample_id", "group"), "sample_id").persist(StorageLevel.MEMORY_AND_DISK)
     width = width or table.first()["features"].size
     fitted = fit_classifier(classifier, table, width, nonzero_average(table), options)
-    fitted.generation = dict(generation or {})
+    table.unpersist()
+    fitted.generation, fitted.index = dict(generation or {}), index
     return fitted

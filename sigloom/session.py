@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_CHECKPOINTS = f"{tempfile.gettempdir()}/sigloom-checkpoints"
+
 
 def local_session(name: str = "sigloom", cores: str = "8", memory: str = "16g") -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
@@ -17,6 +19,7 @@ def local_session(name: str = "sigloom", cores: str = "8", memory: str = "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         .getOrCreate()
     )
 
@@ -24,8 +27,7 @@ def local_session(name: str = "sigloom", cores: str = "8", memory: str = "16g")
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only by a local session that names none; on a
-    cluster a missing setting is an error, since executors could not see it.
+    Only a local session may leave it unset and gets one; on a cluster that is an error, since executors could not see it.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -33,18 +35,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigloom-checkpoint-"))
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(LOCAL_CHECKPOINTS)
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer splits than the cluster has task slots.
 

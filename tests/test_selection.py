@@ -2,12 +2,13 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sigloom.operators import folds, ranking, skew
 from sigloom.operators import selection as sel
-from sigloom.plans.grid import experiment_grid
-from sigloom.plans.job import Experiment, expand_options
+from sigloom.plans.grid import experiment_grid, grid_points
+from sigloom.plans.job import Experiment, Job, run_job
 from sigloom.plans.select import select_sequences
 from sigloom.sources.archives import read_archive
 from sigloom.sources.metadata import read_metadata
@@ -151,8 +152,52 @@ def test_grid_names_and_shared_selection(spark):
     assert {(r["experiment"], r["selection"], r["k"], r["m"], r["z"]) for r in rows} == {
         (f"sub-k={k}-m={m}", f"sub-k=3-m={m}", k, "fixed", 9) for k in (3, 4) for m in "xy"
     }
-    points = expand_options("sub", Experiment([], DATASET, {"m": "fixed"}, {"k": "3..4", "m": ["x", "y"]}), ("k",))
+    points = grid_points("sub", {"k": "3..4", "m": ["x", "y"]}, {"m": "fixed"}, ("k",))
     assert [(p[0], p[1]) for p in points] == [
         ("sub-k=3-m=x", "sub-k=3-m=x"), ("sub-k=3-m=y", "sub-k=3-m=y"), ("sub-k=4-m=x", "sub-k=3-m=x"), ("sub-k=4-m=y", "sub-k=3-m=y"),
     ]
     assert all(p[2]["m"] == "fixed" for p in points)
+
+
+def test_missing_members_are_an_error(spark):
+    picked = spark.createDataFrame([("e1", 1, "A", "zoo", None), ("gone", 2, "A", "zoo", None)], "id string, entry_no long, group string, archive string, archive_folder string")
+    archives = spark.createDataFrame([("zoo", "e1.fasta", ">1\nACGT")], "archive string, member string, content string")
+    with pytest.raises(Exception, match="no such member: zoo/gone.fasta"):
+        select_sequences(picked, archives).collect()
+
+
+def test_job_with_functions_and_two_datasets(spark, tmp_path):
+    """Groups and entries chosen by functions with options, a group of another dataset, members read as needed."""
+    zoo(tmp_path)
+    meta = {
+        "zoo": read_metadata(spark, str(tmp_path / "zoo.json"), "id string, subtype string, recombinant boolean, filename string"),
+        "more": spark.createDataFrame([("m1", "A", False, 0), ("m2", "C", True, 1)], "id string, subtype string, recombinant boolean, entry_no long"),
+    }
+    asked = []
+
+    def archives(members):
+        asked.extend(tuple(r) for r in members.collect())
+        more = spark.createDataFrame([("extra", "m1.fasta", ">m\nGATT")], "archive string, member string, content string")
+        return read_archive(spark, str(tmp_path), members).unionByName(more)
+
+    def groups(options, metadata):
+        found = sel.groups_by_value(metadata, options["selection_key"], options["min_group_pts"])
+        return [{"group": r["group"], "values": r["values"], "selection_key": options["selection_key"]} for r in found.orderBy("group").collect()] + [
+            {"group": "other", "values": ["A", "C"], "selection_key": "subtype", "archive": "extra", "metadata": "more"}
+        ]
+
+    def pick(metadata, group, options):
+        flagged = F.coalesce(F.col("recombinant"), F.lit(False))
+        return (F.lit(options["include_recombinants"]) | ~flagged) & F.col(group["selection_key"]).isin(group["values"])
+
+    experiment = Experiment(groups, DATASET, {"selection_key": "subtype", "min_group_pts": 2, "include_recombinants": False}, {"k": "2..2"})
+    steps = [{"type": "kmers", "output_file": "cgrs", "mode": "frequencies", "k": "from_options"}, {"type": "kmers", "output_file": "counts-2", "mode": "counts", "k": 2}]
+    job = Job("j", {"sub": experiment}, steps, meta, archives, pick)
+    run_job(spark, job, str(tmp_path / "out"))
+    chosen = spark.read.parquet(str(tmp_path / "out/j/sub-k=2/selection.parquet")).orderBy("sample_no").collect()
+    assert [(r["id"], r["group"], r["sequences"]) for r in chosen] == [
+        ("e1", "A", ["ACGT", "GG"]), ("e3", "A", [""]), ("e5", "B", ["CC"]), ("m1", "other", ["GATT"]),
+    ]
+    assert sorted(asked) == [("extra", "m1.fasta"), ("zoo", "whole/e1.fasta"), ("zoo", "whole/e3.fasta"), ("zoo", "whole/e5.fasta")]
+    counts = spark.read.parquet(str(tmp_path / "out/j/sub-k=2/counts-2.parquet"))
+    assert {(r["kmer"], r["n"]) for r in counts.where("sample_id = '0000000001.fasta'").collect()} == {("AC", 1), ("CG", 1), ("GT", 1), ("GG", 1)}

@@ -18,7 +18,7 @@ from workload.base import POINTS, Query, Registry, counts_sql, points, samples,
 REGISTRY = Registry()
 
 PLAIN = Options(skip_normalization=True)
-QUICK = Options(max_iter=5, rounds=5, parallelism=8)
+DEFAULT = Options(parallelism=8)
 
 
 def _points(spark, sf_dir):
@@ -192,7 +192,7 @@ def _evaluation(name):
         rows = _points(spark, sf_dir)
         result = cross_validate(
             rows.select("sample_id", "features"), rows.select("sample_id", "group"), name, 2, seed=3,
-            options=Options(dim_reduce_fraction=0.2, max_iter=5, rounds=5, parallelism=8),
+            options=Options(dim_reduce_fraction=0.2, parallelism=8),
         )
         return result.confusion
 
@@ -208,7 +208,7 @@ def evaluate_kmer_linear_svm(spark, sf_dir):
     rows = _kmer_vectors(spark, sf_dir, 4, frequencies=True)
     result = cross_validate(
         rows.select("sample_id", "features"), samples(spark, sf_dir), "linear-svm", 2, seed=3,
-        split_by="source", options=QUICK,
+        split_by="source", options=DEFAULT,
     )
     return result.topn
 
@@ -216,7 +216,7 @@ def evaluate_kmer_linear_svm(spark, sf_dir):
 @REGISTRY.query()
 def predictions_of_final_model(spark, sf_dir):
     rows = _kmer_vectors(spark, sf_dir, 3, frequencies=True)
-    fitted = fit_final(rows.select("sample_id", "features"), samples(spark, sf_dir), "multilayer-perceptron", QUICK)
+    fitted = fit_final(rows.select("sample_id", "features"), samples(spark, sf_dir), "multilayer-perceptron", DEFAULT)
     return ranking.rank_predict(fitted.scores(rows.select("sample_id", "features")))
 
 
@@ -225,7 +225,7 @@ def cross_validation_timing(spark, sf_dir):
     rows = _points(spark, sf_dir)
     result = cross_validate(
         rows.select("sample_id", "features"), rows.select("sample_id", "group"), "multilayer-perceptron", 2, seed=3,
-        options=QUICK,
+        options=DEFAULT,
     )
     return result.timing
 

@@ -223,8 +223,7 @@ def saved_model_predictions(spark, sf_dir):
     """A saved classifier predicts what the one in memory does, on features made from its own options."""
     rows, seqs = samples(spark, sf_dir), sequences(spark, sf_dir).select("sample_id", "seq")
     vectors = kmer_vectors(seqs, rows, 3, "frequencies")
-    quick = Options(max_iter=5)
-    fitted = fit_final(vectors, rows, "multilayer-perceptron", quick, generation={"mode": "frequencies", "k": 3})
+    fitted = fit_final(vectors, rows, "multilayer-perceptron", Options(), generation={"mode": "frequencies", "k": 3})
     path = scratch(spark, "model")
     models.save_model(fitted, path, spark)
 
