@@ -192,7 +192,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings, late_bits)
     sizes = pairs.groupBy("probe").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     dealt = salted_join(pairs, sizes, ["probe"], ["a"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
     own = sets.select(F.col("sig").alias("a"), "tokens")
-    members = salted_join(dealt.select("a", "probe", "block"), own, ["a"], ["probe"]).select("probe", "block", "a", "tokens")
+    members = dealt.select("a", "probe", "block").join(own, "a").select("probe", "block", "a", "tokens")
     probes = sizes.join(own.withColumnRenamed("a", "probe"), "probe").select(
         "probe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("a"), "tokens"
     )
