@@ -6,7 +6,9 @@ own; remainders are packed, whole, inside groups of bounded expected size that a
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +27,8 @@ GROUP_PIECES = 4096
 SEED = 23
 _CHUNK = 1 << 20
 _KEPT_WORDS = 800_000
+#: a word that ends in a letter and then punctuation other than an apostrophe
+_ENDING = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 
 
 class _Numbers(dict):
@@ -48,16 +52,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.numbers = _Numbers()
+        self.stems: dict[bytes, list[int]] = {}
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a list of words in a row, and the number of ids of every word."""
         known = len(self.numbers)
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        fresh = list(self.numbers)[known:] if len(self.numbers) > known else []
-        if fresh:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in made)])
+        if len(self.numbers) > known:
+            made = self._encoded(list(itertools.islice(self.numbers, known, None)))
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32)])
             self.lengths = np.concatenate([self.lengths, np.array([len(x) for x in made], np.int64)])
         starts = np.cumsum(self.lengths) - self.lengths
         counts = self.lengths[at]
@@ -65,12 +69,23 @@ class Encoder:
         out = self.ids[np.repeat(starts[at] - first, counts) + np.arange(counts.sum())]
         if len(self.numbers) > _KEPT_WORDS:
             kept = _KEPT_WORDS
-            for word in list(self.numbers)[kept:]:
+            for word in list(itertools.islice(self.numbers, kept, None)):
                 del self.numbers[word]
             self.lengths = self.lengths[:kept]
             self.ids = self.ids[: int(self.lengths.sum())]
         return out, counts
 
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of every word. Punctuation behind a last letter is a part of its own, so stems are encoded once for all endings."""
+        parts = [m.groups() if (m := _ENDING.match(w)) and b"<|" not in w else (w,) for w in words]
+        single = list(dict.fromkeys(p for own in parts for p in own if p not in self.stems))
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in single], add_special_tokens=False)
+        fresh = dict(zip(single, (e.ids for e in found)))
+        out = [[i for p in own for i in (fresh.get(p) or self.stems.get(p) or ())] for own in parts]
+        if len(self.stems) < _KEPT_WORDS // 4:
+            self.stems.update((own[0], fresh[own[0]]) for own in parts if len(own) == 2 and own[0] in fresh)
+        return out
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text of a column, the end id last."""
         data, at = buffers(column)
