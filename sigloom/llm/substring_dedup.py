@@ -72,7 +72,9 @@ def removed_windows(texts: DataFrame, width: int, sketch: Sketch) -> DataFrame:
     schema = "h1 bigint, h2 bigint, id bigint, row bigint, start bigint"
     windows = texts.select("doc_id", "row", "text").mapInArrow(candidates, schema)
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    return windows.join(first.drop("last_id"), ["h1", "h2"]).where("id > first_id").select("id", "row", "start")
+    # a table of its own, so that the join meets two plain shuffles, of which Spark splits a hot digest's part
+    first = stored(first.drop("last_id"), "first-places")
+    return windows.join(first, ["h1", "h2"]).where("id > first_id").select("id", "row", "start")
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, sketch: Sketch = Sketch()) -> DataFrame:
