@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import Query, documents, narrow, stored
 from sigloom.llm.sketch import Sketch, count_bits
 from sigloom.llm.textops import CHUNK, buffers, cached_powers, covered, ids_of, mix, signed, sliding_min, small
-from sigloom.operators.skew import salted_join
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CODES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) for s in (31, 37)]
@@ -353,13 +352,14 @@ def repeated_ranges(texts: DataFrame, s: Settings) -> DataFrame:
     reached = same.unionByName(sorted_).unionByName(dense).groupBy("gram", "s1", "s2").agg(
         F.max("before").alias("reach_before"), F.max("after").alias("reach_after")
     )
+    # tables meet in plain shuffles, of which Spark splits the part of a hot key
     reached = stored(reached, "reached")
-    ranges = salted_join(seen, reached, ["gram", "s1", "s2"], ["row"]).select(
+    ranges = seen.join(reached, ["gram", "s1", "s2"]).select(
         "id", "row", (F.col("place") - F.col("reach_before")).alias("start"), (F.col("reach_before") + F.col("reach_after")).alias("length")
     )
     tied = stored(tied_strings(texts, s), "tied-strings")
     twice = tied.where("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    elsewhere = salted_join(tied.where("n = 1"), twice, ["h1", "h2"], ["row"])
+    elsewhere = tied.where("n = 1").join(stored(twice, "tied-twice"), ["h1", "h2"])
     return ranges.unionByName(
         tied.where("n = 0").unionByName(elsewhere.select(*tied.columns)).select("id", "row", "start", F.col("after").alias("length"))
     )
