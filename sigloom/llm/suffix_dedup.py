@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, narrow, stored
 from sigloom.llm.sketch import Sketch, count_bits
-from sigloom.llm.textops import CHUNK, buffers, cached_powers, covered, ids_of, mix, signed, sliding_min, small
+from sigloom.llm.textops import buffers, cached_powers, covered, ids_of, mix, signed, sliding_min, small
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CODES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) for s in (31, 37)]
 _PLACE_BITS = 22
+#: bytes handled at once: the arrays over them stay in a core's cache
+CHUNK = 1 << 17
 
 
 @dataclass(frozen=True)
