@@ -47,7 +47,6 @@ class Options:
     seed: int = 0
     max_iter: int | None = None
     rounds: int = ROUNDS
-    parallelism: int = 4
     fourier_size: int = FOURIER_SIZE
     sketch_size: int = SKETCH_SIZE
     max_depth: int = MAX_DEPTH
@@ -77,7 +76,7 @@ def _linear(ctx: Context, loss: str, penalty: float, source: str | None = None)
     return [
         OneVsRestLinear(
             inputCol=source or ctx.source, outputCol=answer, loss=loss, regParam=penalty,
-            maxIter=ctx.iterations(100), tol=TOLERANCE[loss], parallelism=ctx.options.parallelism,
+            maxIter=ctx.iterations(100), tol=TOLERANCE[loss],
         )
     ]
 

@@ -3,50 +3,161 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import keyword_only
+import pyarrow as pa
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasMaxIter, HasOutputCol, HasParallelism, HasRegParam, HasSeed, HasTol
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasMaxIter, HasOutputCol, HasRegParam, HasSeed, HasTol
+from pyspark.sql import functions as F
 
 from sigloom.operators.models import MatrixModel
+from sigloom.operators.vectors import CELLS_PER_PANEL, dense_rows
 
 
-class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxIter, HasRegParam, HasParallelism, HasTol):
-    """One linear model per class, trained side by side by Spark ML.
+class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxIter, HasRegParam, HasTol):
+    """One linear model per class, all of them fitted in the same passes over the rows.
 
-    The fitted coefficients are stacked into one matrix, so that scoring is a single
-    product per batch instead of one pass per class. ``loss`` is ``hinge`` (scores are
-    margins) or ``logistic`` (class probabilities: sigmoids, normalised).
+    Minimises the mean loss plus ``regParam / 2 |w|^2`` without a penalty on the intercept. A pass evaluates every
+    class's next step at once and is one aggregation, so the number of jobs does not grow with the classes.
+    ``loss`` is ``hinge`` (scores are margins) or ``logistic`` (class probabilities: sigmoids, normalised).
     """
 
     loss = Param(Params._dummy(), "loss", "hinge or logistic", TypeConverters.toString)
 
     @keyword_only
     def __init__(
-        self, *, inputCol=None, labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3,
-        parallelism=4
+        self, *, inputCol=None, labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3
     ):
         super().__init__()
-        self._setDefault(labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3, parallelism=4)
+        self._setDefault(labelCol="label", outputCol="scores", loss="hinge", regParam=0.0, maxIter=100, tol=1e-3)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
         column, label = self.getInputCol(), self.getLabelCol()
         logistic = self.getOrDefault(self.loss) == "logistic"
-        base = (LogisticRegression if logistic else LinearSVC)(
-            featuresCol=column, labelCol=label, regParam=self.getRegParam(), maxIter=self.getMaxIter(), tol=self.getTol(),
-            standardization=False
-        )
-        rest = OneVsRest(classifier=base, featuresCol=column, labelCol=label, parallelism=self.getParallelism())
-        models = rest.fit(dataset).models
-        weights = np.array([m.coefficients.toArray() for m in models])
+        width = dataset.select(column).first()[0].size
+        classes = int(dataset.agg(F.max(label)).first()[0]) + 1
+        rows = dataset.select(F.unwrap_udt(column).alias("v"), F.col(label).cast("int").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+        n = rows.count()
+
+        def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return _loss_sums(rows, weights, width, logistic, n, self.getRegParam())
+
+        weights = minimise_all(evaluate, np.zeros((classes, width + 1)), self.getMaxIter(), self.getTol())
+        rows.unpersist()
         return MatrixModel(
             inputCol=column, outputCol=self.getOutputCol(), kernel="logistic_probability" if logistic else "linear",
-            width=int(weights.shape[1]), parts={"weights": weights, "bias": np.array([m.intercept for m in models])},
+            width=int(width), parts={"weights": weights[:, :-1], "bias": weights[:, -1]},
         )
 
 
+def _loss_sums(rows, weights, width, logistic, n, penalty) -> tuple[np.ndarray, np.ndarray]:
+    """Objective and gradient of every class at its row of ``weights`` (the intercept last)."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = shared.value
+        total = np.zeros((len(w), width + 2))
+        for batch in batches:
+            step = max(1, CELLS_PER_PANEL // max(width, 1))
+            for at in range(0, batch.num_rows, step):
+                x = dense_rows(batch.column("v").slice(at, step), width)
+                y = batch.column("y").to_numpy()[at : at + step]
+                side = np.where(y[:, None] == np.arange(len(w)), 1.0, -1.0)
+                margin = side * (x @ w[:, :-1].T + w[:, -1])
+                if logistic:
+                    pull = -side * 0.5 * (1 - np.tanh(0.5 * margin))
+                    total[:, -1] += np.logaddexp(0, -margin).sum(axis=0)
+                else:
+                    pull = np.where(margin < 1, -side, 0.0)
+                    total[:, -1] += np.maximum(1 - margin, 0).sum(axis=0)
+                total[:, :-2] += pull.T @ x
+                total[:, -2] += pull.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["cells"])
+
+    parts = rows.mapInArrow(run, "cells array<double>")
+    sums = parts.select(F.posexplode("cells").alias("at", "cell")).groupBy("at").agg(F.sum("cell").alias("cell")).collect()
+    shared.unpersist()
+    total = np.zeros((len(weights), width + 2))
+    for r in sums:
+        total.flat[r["at"]] = r["cell"]
+    total /= max(n, 1)
+    inner = weights[:, :-1]
+    total[:, :-2] += penalty * inner
+    return total[:, -1] + penalty / 2 * (inner * inner).sum(axis=1), total[:, :-1]
+
+
+MEMORY = 10
+HALVINGS = 12
+
+
+def minimise_all(evaluate, weights: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Limited-memory BFGS for several separate objectives that are evaluated together.
+
+    ``evaluate`` maps all rows of weights to their values and gradients. Every row has its own history and step
+    length; one that gains less than ``tol`` of its value in three steps in a row, or finds no descent, stays where it is.
+    """
+    value, slope = evaluate(weights)
+    rows = range(len(weights))
+    history: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in rows]
+    open_, idle = set(rows), np.zeros(len(weights), int)
+    for _ in range(max_iter):
+        if not open_:
+            break
+        direction = np.zeros_like(weights)
+        for k in open_:
+            direction[k] = _descent(slope[k], history[k])
+            if direction[k] @ slope[k] >= 0:
+                history[k].clear()
+                direction[k] = -slope[k]
+        step = np.array([1.0 if history[k] else 1.0 / max(1.0, float(np.linalg.norm(slope[k]))) for k in rows])
+        todo, moved = set(open_), {}
+        for _ in range(HALVINGS):
+            trial = weights.copy()
+            for k in todo:
+                trial[k] += step[k] * direction[k]
+            found, grown = evaluate(trial)
+            for k in sorted(todo):
+                if found[k] <= value[k] + 1e-4 * step[k] * float(direction[k] @ slope[k]):
+                    moved[k] = (trial[k], found[k], grown[k])
+                    todo.discard(k)
+                else:
+                    step[k] /= 2
+            if not todo:
+                break
+        for k in sorted(open_):
+            if k not in moved:
+                if history[k]:
+                    history[k].clear()  # once more along the gradient
+                else:
+                    open_.discard(k)
+                continue
+            place, now, gradient = moved[k]
+            s, y = place - weights[k], gradient - slope[k]
+            if s @ y > 1e-10 * (y @ y):
+                history[k] = [*history[k][1 - MEMORY :], (s, y)]
+            idle[k] = idle[k] + 1 if value[k] - now <= tol * max(abs(float(now)), 1e-12) else 0
+            weights[k], value[k], slope[k] = place, now, gradient
+            if idle[k] >= 3:
+                open_.discard(k)
+    return weights
+
+
+def _descent(gradient: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Two-loop recursion over the last steps and gradient changes."""
+    q, used = gradient.copy(), []
+    for s, y in reversed(history):
+        a = (s @ q) / (s @ y)
+        used.append(a)
+        q -= a * y
+    if history:
+        s, y = history[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(history, reversed(used)):
+        q += (a - (y @ q) / (s @ y)) * s
+    return -q
+
+
 class FourierFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed):
     """Random cosine features whose inner products approximate ``exp(-gamma |x - y|^2)``.
 

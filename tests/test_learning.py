@@ -24,7 +24,7 @@ def blobs(spark):
     return df.select("sample_id", array_to_vector("v").alias("features"), "group").persist()
 
 
-SETTINGS = Options(skip_normalization=True, max_iter=6, rounds=8, parallelism=3)
+SETTINGS = Options(skip_normalization=True, max_iter=6, rounds=8)
 
 
 @pytest.mark.parametrize("name", CLASSIFIER_NAMES)

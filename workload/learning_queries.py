@@ -18,7 +18,7 @@ from workload.base import POINTS, Query, Registry, counts_sql, points, samples,
 REGISTRY = Registry()
 
 PLAIN = Options(skip_normalization=True)
-DEFAULT = Options(parallelism=8)
+DEFAULT = Options()
 
 
 def _points(spark, sf_dir):
@@ -192,7 +192,7 @@ def _evaluation(name):
         rows = _points(spark, sf_dir)
         result = cross_validate(
             rows.select("sample_id", "features"), rows.select("sample_id", "group"), name, 2, seed=3,
-            options=Options(dim_reduce_fraction=0.2, parallelism=8),
+            options=Options(dim_reduce_fraction=0.2),
         )
         return result.confusion
 
