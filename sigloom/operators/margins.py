@@ -37,8 +37,10 @@ class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxI
         logistic = self.getOrDefault(self.loss) == "logistic"
         width = dataset.select(column).first()[0].size
         classes = int(dataset.agg(F.max(label)).first()[0]) + 1
-        rows = dataset.select(F.unwrap_udt(column).alias("v"), F.col(label).cast("int").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = dataset.select(F.unwrap_udt(column).alias("v"), F.col(label).cast("int").alias("y"))
         n = rows.count()
+        # every pass starts a task per partition: small tables get few
+        rows = rows.coalesce(max(1, -(-n * width // CELLS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
 
         def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return _loss_sums(rows, weights, width, logistic, n, self.getRegParam())
@@ -76,17 +78,23 @@ def _loss_sums(rows, weights, width, logistic, n, penalty) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["cells"])
 
     parts = rows.mapInArrow(run, "cells array<double>")
-    sums = parts.select(F.posexplode("cells").alias("at", "cell")).groupBy("at").agg(F.sum("cell").alias("cell")).collect()
-    shared.unpersist()
     total = np.zeros((len(weights), width + 2))
-    for r in sums:
-        total.flat[r["at"]] = r["cell"]
+    if -(-n * width // CELLS_PER_TASK) > MANY_PARTS:  # sums of many tasks are added up on the cluster
+        cells = parts.select(F.posexplode("cells").alias("at", "cell")).groupBy("at").agg(F.sum("cell").alias("cell"))
+        for r in cells.collect():
+            total.flat[r["at"]] = r["cell"]
+    else:
+        for r in parts.collect():
+            total += np.reshape(r["cells"], total.shape)
+    shared.unpersist()
     total /= max(n, 1)
     inner = weights[:, :-1]
     total[:, :-2] += penalty * inner
     return total[:, -1] + penalty / 2 * (inner * inner).sum(axis=1), total[:, :-1]
 
 
+CELLS_PER_TASK = 500_000
+MANY_PARTS = 64
 MEMORY = 10
 HALVINGS = 12
 
