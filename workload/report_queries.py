@@ -15,6 +15,7 @@ from sigloom.plans import report
 from sigloom.plans.evaluate import fit_final
 from sigloom.plans.predict import kmer_vectors, predict_sequences
 from sigloom.sources import archives, fasta, models, results, tables
+from sigloom.sources.metadata import read_metadata
 from workload.base import SEQ, Registry, counts_sql, samples, scratch, sequences, table
 
 REGISTRY = Registry()
@@ -192,16 +193,33 @@ def distance_table_round_trip(spark, sf_dir):
     return back.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("d").cast("bigint").alias("total"))
 
 
-@REGISTRY.query(f"WITH {SEQ} SELECT concat(source, '-', sample_id) AS sample_id, seq FROM seqs")
+@REGISTRY.query(f"""WITH {SEQ} SELECT concat(source, '-', sample_id) AS header, seq,
+  row_number() OVER (PARTITION BY source ORDER BY sample_id) AS record_no FROM seqs WHERE seq <> ''""")
 def fasta_export(spark, sf_dir):
+    """One file per source, read back as FASTA; a header without a sequence is no record."""
     path = scratch(spark, "fasta")
-    rows = sequences(spark, sf_dir).select(F.col("source").alias("sample_id"), F.concat("source", F.lit("-"), "sample_id").alias("header"), "seq")
+    rows = sequences(spark, sf_dir).select(
+        F.col("source").alias("sample_id"), F.col("sample_id").alias("record_no"), F.concat("source", F.lit("-"), "sample_id").alias("header"), "seq"
+    )
     fasta.write_fasta(rows, path)
-    back = spark.read.text(path, wholetext=True)
-    # an empty sequence leaves a header without a record
-    parts = F.split(F.col("value"), "(?m)^>")
-    lines = back.select(F.explode(parts).alias("p")).where("p <> ''")
-    return lines.select(F.split("p", "\n")[0].alias("sample_id"), F.split("p", "\n")[1].alias("seq"))
+    back = fasta.read_fasta(spark, f"{path}/*", with_headers=True)
+    return back.select(F.ltrim("header", F.lit(">")).alias("header"), "seq", F.col("record_no").cast("bigint").alias("record_no"))
+
+
+@REGISTRY.query("SELECT concat('e', doc_id) AS id, lang AS subtype, row_number() OVER (ORDER BY doc_id) - 1 AS entry_no FROM documents")
+def metadata_scan(spark, sf_dir):
+    """Entries in several files of JSON lines, numbered in the order of the files."""
+    path = scratch(spark, "metadata")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("e"), "doc_id").alias("id"), F.col("lang").alias("subtype"), "doc_id")
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
+    return read_metadata(spark, path, "id string, subtype string", lines=True)
+
+
+@REGISTRY.query(f"WITH {RUNS} SELECT run, dist, classifier, CAST(n AS INTEGER) AS n, round(accuracy, 9) AS accuracy FROM res")
+def json_round_trip(spark, sf_dir):
+    path = scratch(spark, "json")
+    tables.write_json(_results(spark, sf_dir).select("run", "dist", "classifier", "n", "accuracy"), path)
+    return _rounded(spark.read.schema("run string, dist string, classifier string, n int, accuracy double").json(path))
 
 
 @REGISTRY.query(f"WITH {RUNS} SELECT run, dist, classifier, CAST(n AS INTEGER) AS n, round(accuracy, 9) AS accuracy FROM res WHERE k = 2")
