@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -390,3 +391,51 @@ def test_risk_never_rewards_negative_estimates():
     unlabelled = np.vstack([rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (300, 2))])
     model = quality_classifier.minimise(positive, unlabelled, 0.5, quality_classifier.Settings(steps=300))
     assert (model.scores(positive) > 0.5).mean() > 0.9 and (model.scores(negative) < 0.5).mean() > 0.9
+
+
+def test_license_scan_finds_wrapped_licences(spark):
+    header = (
+        "# tool.py\n#\n# This program is free software: you can redistribute it and/or\n# modify it under the terms of the GNU General Public\n"
+        "# License as published by the Free Software Foundation, either\n# version 3 of the License, or (at your option) any later version.\n\n"
+        "import sys\n\ndef main():\n    print(sys.argv)\n"
+    )
+    prose = "\n".join(f"word{i} other{i} more{i}" for i in range(400))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan.TEXTS["MIT"], header + prose, f"{prose}\n{prose}\n{license_scan.TEXTS['GPL-3.0']}\n{prose}\n{prose}",
+        f"{prose}\n{license_scan.TEXTS['BSD-3-Clause']}", f"/*\n{license_scan.TEXTS['ISC']}*/\nint x;\n", prose + "\nall rights under the license\n",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id bigint, text string")
+    found = {}
+    for r in license_scan.license_matches(docs).collect():
+        assert (r.doc_id, r.license, r.unit_no) not in found
+        found[r.doc_id, r.license, r.unit_no] = r.dice
+    names = {(i, name) for i, name, _ in found}
+    assert {(0, "MIT"), (0, "MIT permission"), (1, "GPL-3.0 header"), (2, "GPL-3.0"), (3, "BSD-3-Clause"), (3, "BSD conditions"), (4, "ISC"), (4, "ISC permission")} <= names
+    assert not any(i == 5 for i, _ in names)
+    best = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert best[1].license == "GPL-3.0 header" and best[1].dice == 1.0 and best[2].license == "GPL-3.0" and best[2].dice == 1.0
+    assert best[2].unit_no == -2401
+
+
+def test_license_runs_lose_no_match(spark):
+    """Runs of any start and length, by brute force, for texts near the threshold."""
+    rng = random.Random(5)
+    template = " ".join(rng.choice("abcdefghijkl") + rng.choice("xyz") for _ in range(60))
+    texts = []
+    for edits in range(24):
+        words = template.split()
+        for _ in range(edits // 3):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = ["zz"] * rng.randrange(4)
+        texts.append("\n".join([f"left{edits}", " ".join(words[:20]), " ".join(words[20:]), "right"]))
+    want = license_scan.template_bigrams(template)
+    got = {r.doc_id for r in license_scan.license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), {"t": template}).collect()}
+    expected = set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                bag = license_scan.template_bigrams(" ".join(words[a:b]))
+                if 2 * (bag & want).total() / (bag.total() + want.total()) >= 0.8:
+                    expected.add(i)
+    assert got == expected and 0 < len(got) < len(texts)
