@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, narrow, stored
-from sigloom.llm.textops import buffers, is_space
+from sigloom.llm.textops import buffers, is_space, lowered
 
 CAPACITY = 4096
 END_ID = 2
@@ -31,6 +31,21 @@ _KEPT_WORDS = 800_000
 _ENDING = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 
 
+def plain_lowered(data: np.ndarray) -> bytes:
+    """Bytes with the words of pure ASCII made lower case, as the tokenizer would; all others, and spellings of special tokens, stay for it.
+
+    It composes letters before it lowers them, so a capital in front of a combining mark must reach it as it is.
+    """
+    odd = data >= 128
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    if not odd.any():
+        return lowered(data).tobytes()
+    word = np.cumsum(is_space(data), dtype=np.int32)
+    skip = np.zeros(int(word[-1]) + 1, bool)
+    skip[word[odd]] = True
+    return np.where(skip[word], data, lowered(data)).tobytes()
+
+
 class _Numbers(dict):
     """Numbers words in the order of their first sight."""
 
@@ -89,17 +104,15 @@ class Encoder:
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text of a column, the end id last."""
         data, at = buffers(column)
-        raw = data.tobytes()
-        if b"<|" not in raw:  # the vocabulary is lower case; only the spelling of special tokens tells cases apart
-            raw = raw.lower()
         n, row = len(at) - 1, 0
         while row < n:
             if at[row + 1] - at[row] > _CHUNK:
-                yield np.append(self._long(data, raw, int(at[row]), int(at[row + 1])), np.uint32(END_ID))
+                yield np.append(self._long(data, int(at[row]), int(at[row + 1])), np.uint32(END_ID))
                 row += 1
                 continue
             stop = max(row + 1, int(np.searchsorted(at, at[row] + _CHUNK, "right")) - 1)
-            lists = [raw[a:b].split() for a, b in zip(at[row:stop].tolist(), at[row + 1 : stop + 1].tolist())]
+            raw, own = plain_lowered(data[at[row] : at[stop]]), at[row : stop + 1] - at[row]
+            lists = [raw[a:b].split() for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
             ids, counts = self.chunk([w for words in lists for w in words])
             upto = np.concatenate(([0], np.cumsum(counts)))
             ends = upto[np.cumsum([len(words) for words in lists])]
@@ -109,7 +122,7 @@ class Encoder:
                 begin = end
             row = stop
 
-    def _long(self, data: np.ndarray, raw: bytes, start: int, end: int) -> np.ndarray:
+    def _long(self, data: np.ndarray, start: int, end: int) -> np.ndarray:
         parts = []
         while start < end:
             to = min(end, start + _CHUNK)
@@ -119,7 +132,7 @@ class Encoder:
                     to = start + int(spaces[-1]) + 1
                     break
                 to = min(end, to + _CHUNK)
-            parts.append(self.chunk(raw[start:to].split())[0])
+            parts.append(self.chunk(plain_lowered(data[start:to]).split())[0])
             start = to
         return np.concatenate(parts)
 

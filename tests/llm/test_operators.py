@@ -439,3 +439,14 @@ def test_license_runs_lose_no_match(spark):
                 if 2 * (bag & want).total() / (bag.total() + want.total()) >= 0.8:
                     expected.add(i)
     assert got == expected and 0 < len(got) < len(texts)
+
+
+def test_capitals_with_combining_marks():
+    """Ids do not depend on when a word is lowered, nor on the other texts of a batch."""
+    path = packing.default_tokenizer()
+    whole = packing.Encoder(path).tokenizer
+    texts = ["H\u0331at and T\u0308ea, W\u030aord", "Y\u030aes HAT J\u030cot", "Plain TEXT, here", "\u00dcBER Stra\u00dfe", "x <|endoftext|> A", ""]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    together = [ids.tolist() for ids in packing.Encoder(path).texts(pa.array(texts))]
+    apart = [next(packing.Encoder(path).texts(pa.array([t]))).tolist() for t in texts]
+    assert together == want and apart == want
