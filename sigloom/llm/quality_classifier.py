@@ -1,6 +1,7 @@
 """Quality classifier by positive-unlabelled learning with a non-negative risk.
 
-Trusted positives are labelled rows of quality 1; unlabelled rows stand for the web. With the class
+Trusted positives are labelled rows of quality 1; the unlabelled sample is drawn from all rows, with their labels
+ignored, and stands for the web. With the class
 prior p estimated from the training labels, the risk is p * R(positive as 1) + max(0, R(unlabelled as 0)
 - p * R(positive as 0)), minimised over a small network on statistics of the whole text.
 """
@@ -106,9 +107,9 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, setting
 
 
 def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings) -> tuple[DataFrame, float]:
-    """Bounded samples of trusted positives (positive = 1) and unlabelled rows (0) with features; the class prior.
+    """Bounded samples of trusted positives (positive = 1) and of all rows whatever their labels (0); the class prior.
 
-    Rows of the held-out fold give nothing: neither labels nor texts.
+    A labelled row may be in both. Rows of the held-out fold give nothing: neither labels nor texts.
     """
     fold = crc_bucket(F.col("doc_id").cast("bigint"), settings.folds) != 0
     known = (
@@ -118,11 +119,10 @@ def training_rows(docs: DataFrame, marks: DataFrame, settings: Settings) -> tupl
     prior = known.agg(F.avg("quality")).first()[0]
     order = [F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id")]
     positives = known.where("quality = 1").orderBy(*order).limit(settings.positive_rows).select("doc_id", F.lit(1).alias("positive"))
-    seen = marks.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    others = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(fold & F.col("doc_id").isNotNull())
-    unlabelled = (
-        others.join(seen, "doc_id", "left_anti").orderBy(*order).limit(settings.unlabelled_rows).select("doc_id", F.lit(0).alias("positive"))
-    )
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(fold & F.col("doc_id").isNotNull())
+    # an order of its own, so that the positives' sample does not decide which rows are drawn
+    apart = [F.xxhash64("doc_id", F.lit("unlabelled"), F.lit(settings.seed)), F.col("doc_id")]
+    unlabelled = every.orderBy(*apart).limit(settings.unlabelled_rows).select("doc_id", F.lit(0).alias("positive"))
     # at most positive_rows + unlabelled_rows ids
     chosen = F.broadcast(positives.unionByName(unlabelled))
     found = narrow(docs).join(chosen, "doc_id").select("doc_id", "positive", "text")

@@ -450,3 +450,13 @@ def test_capitals_with_combining_marks():
     together = [ids.tolist() for ids in packing.Encoder(path).texts(pa.array(texts))]
     apart = [next(packing.Encoder(path).texts(pa.array([t]))).tolist() for t in texts]
     assert together == want and apart == want
+
+
+def test_classifier_learns_where_every_row_is_labelled(spark):
+    rng = random.Random(3)
+    good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)) for _ in range(300)]
+    bad = [" ".join("".join(rng.choice("0123456789#%$") for _ in range(rng.randint(2, 7))) for _ in range(60)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate([*good, *bad])), "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i < 300), 0) for i in range(450)], "doc_id bigint, quality int, toxic int")
+    found = quality_classifier.quality_scores(docs, quality_classifier.fit(docs, marks)).collect()
+    assert np.mean([r.predicted == int(r.doc_id < 300) for r in found if r.held_out]) > 0.95
