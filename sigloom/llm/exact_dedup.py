@@ -32,11 +32,11 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def _rank(n_chars: str, doc_id: str, locator: str) -> Column:
-    """Greatest for the row that stays: most code points, then smallest id (null ids last), then locator."""
+def _rank(n_chars: str, doc_id: str, locator: str, row: str) -> Column:
+    """Greatest for the row that stays: most code points, then smallest id (null ids last), then locator, then row key."""
     return F.struct(
         F.col(n_chars).alias("n_chars"), F.col(doc_id).isNotNull().alias("known"), F.bitwise_not(F.col(doc_id)).alias("inverse"),
-        F.col(doc_id).alias("doc_id"), F.col(locator).alias("locator"),
+        F.col(doc_id).alias("doc_id"), F.col(locator).alias("locator"), F.col(row).alias("row"),
     )
 
 
@@ -61,7 +61,7 @@ def ingest(docs: DataFrame, folder: str, digest=_digest, files_per_batch: int =
     arrivals = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/log")
     # equal digests of a task meet before the shuffle, so a group of copies sends one row per task
     state = arrivals.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(_rank("n_chars", "doc_id", "locator")).alias("stays")
+        F.count(F.lit(1)).alias("n_rows"), F.max(_rank("n_chars", "doc_id", "locator", "row")).alias("stays")
     )
     before = {name: spark.conf.get(name, None) for name in _STATE}
     for name, value in _STATE.items():
@@ -92,7 +92,7 @@ def retained(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def checked_classes(docs: DataFrame, folder: str) -> DataFrame:
-    """Classes of equal full texts among the rows whose digest was hit: key, other, group_size, keep_id.
+    """Classes of equal full texts among the rows whose digest was hit: key, other, group_size, keep_id, keep_row.
 
     The log names the rows behind every hit digest; their texts are fetched by identifier and
     meet, whole, in a grouping by digest and text that first combines inside each task. Two texts under both
@@ -109,17 +109,18 @@ def checked_classes(docs: DataFrame, folder: str) -> DataFrame:
     )
     texts = narrow(docs).withColumn("id", F.coalesce("doc_id", last)).join(members, ["id", "row"])
     equal = (
-        texts.select("key", "doc_id", "locator", F.length("text").cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("normal"))
+        texts.select("key", "doc_id", "row", "locator", F.length("text").cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("normal"))
         .groupBy("key", "normal")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(_rank("n_chars", "doc_id", "locator")).alias("stays"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.max(_rank("n_chars", "doc_id", "locator", "row")).alias("stays"))
     )
-    slim = equal.select("key", F.md5("normal").alias("other"), "group_size", F.col("stays.doc_id").alias("keep_id"))
+    slim = equal.select("key", F.md5("normal").alias("other"), "group_size", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row").alias("keep_row"))
     single = slim.groupBy("key", "other").agg(
-        F.count(F.lit(1)).alias("texts"), F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id")
+        F.count(F.lit(1)).alias("texts"), F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id"),
+        F.first("keep_row").alias("keep_row"),
     )
     clash = F.raise_error(F.concat(F.lit("different texts share both digests: "), F.col("key")))
     return single.select(
-        "key", "other", F.when(F.col("texts") > 1, clash.cast("bigint")).otherwise(F.col("group_size")).alias("group_size"), "keep_id"
+        "key", "other", F.when(F.col("texts") > 1, clash.cast("bigint")).otherwise(F.col("group_size")).alias("group_size"), "keep_id", "keep_row"
     )
 
 
@@ -139,9 +140,11 @@ def exact_dedup(docs: DataFrame, digest=_digest, files_per_batch: int = 10_000)
     log = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/log")
     joined = salted_join(log, classes, ["key", "other"], ["row"], "left")
     keep_id = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    # an id alone does not name a row: it may be null, or repeated with another text
+    stays = ~F.coalesce("found", F.lit(False)) | (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(keep_id)
     return joined.select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256", "row",
+        stays.alias("kept"), "text_sha256", "row",
     )
 
 

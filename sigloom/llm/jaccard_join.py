@@ -251,7 +251,7 @@ def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Component of every document under links of similar shingle sets: doc_id, n_shingles, component_id, row.
+    """Component of every document under links of similar shingle sets: doc_id, n_shingles, component_id, row, keep_row (the row that stands for the component).
 
     One row per input row. Null and empty texts and texts without words have no shingle and only themselves; equal sets are one node, so copies are
     linked without pairs. A component without any non-null id has a null component_id; repeated rows get equal results; an empty
@@ -261,21 +261,21 @@ def jaccard_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     grouped = rows.where("tokens IS NOT NULL").groupBy("sig").agg(F.first("tokens").alias("tokens"), F.max("loose").alias("loose"))
     sets = stored(grouped, "distinct-sets")
     comp = stored(components(set_links(sets, settings)), "set-components")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = linked.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members"))
+    named = linked.groupBy("comp").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members"))
     found = stored(
-        salted_join(linked, named, ["comp"], ["sig"]).where("members > 1").select("sig", "component_id"), "grouped-sets"
+        salted_join(linked, named, ["comp"], ["sig"]).where("members > 1").select("sig", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.row").alias("keep_row")), "grouped-sets"
     ).withColumn("grouped", F.lit(True))  # sets with a partner or a copy only
     out = salted_join(rows.select("doc_id", "row", "n", "sig"), found, ["sig"], ["row"], "left")
     own = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "row", F.coalesce("keep_row", "row").alias("keep_row"))
 
 
 def representatives(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with one document of every component, the one with the smallest id, all columns kept; of repeated rows one stays."""
     found = jaccard_join(docs, settings)
-    return keep_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), once=True)
+    return keep_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("keep_row"))), once=True)
 
 
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -290,7 +290,7 @@ SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir)).drop("row")
+    return jaccard_join(documents(spark, sf_dir)).drop("row", "keep_row")
 
 
 QUERIES = [Query("op6_ngram_jaccard", op6_ngram_jaccard, SQL)]

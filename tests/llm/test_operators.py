@@ -460,3 +460,13 @@ def test_classifier_learns_where_every_row_is_labelled(spark):
     marks = spark.createDataFrame([(i, int(i < 300), 0) for i in range(450)], "doc_id bigint, quality int, toxic int")
     found = quality_classifier.quality_scores(docs, quality_classifier.fit(docs, marks)).collect()
     assert np.mean([r.predicted == int(r.doc_id < 300) for r in found if r.held_out]) > 0.95
+
+
+def test_one_row_stays_of_classes_with_null_or_repeated_ids(spark):
+    words = [f"w{i}" for i in range(80)]
+    text, other = " ".join(words), " ".join(f"v{i}" for i in range(80))
+    spaced = [(None, text), (None, text.replace(" ", "\t", 1)), (5, other), (5, other.replace(" ", "\n", 1))]
+    edited = [(None, text), (None, text.replace("w79", "x")), (5, other), (5, other.replace("v79", "x"))]
+    for rows, keep in ((spaced, exact_dedup.survivors), (edited, lambda d: jaccard_join.representatives(d, JOIN))):
+        kept = keep(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted(r.text[0] for r in kept) == ["v", "w"]
