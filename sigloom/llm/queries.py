@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "quality_rules", "quality_classifier", "mixing", "license_scan", "packing", "substring_dedup", "jaccard_join", "suffix_dedup", "language_model")
+_MODULES = (
+    "exact_dedup", "quality_rules", "quality_classifier", "mixing", "license_scan", "packing", "substring_dedup", "jaccard_join",
+    "suffix_dedup", "language_model", "source_divergence", "spelling_variants", "fingerprints",
+)
 
 
 def registry() -> list:
