@@ -33,7 +33,7 @@ def _null_key() -> Column:
 class Settings:
     """``words`` of a paragraph at most; ``cells`` of a subtable of the smallest sketch, a power of two."""
 
-    words: int = 16
+    words: int = 32
     cells: int = 8
 
 
@@ -53,13 +53,13 @@ def _check(digest: Column) -> Column:
 
 
 def _entries(digest: Column, size: Column, n: Column) -> Column:
-    """A digest's three cells."""
+    """A digest's three cells, picked by bits of its own."""
     return let(
         F.struct(digest.alias("x"), _check(digest).alias("c"), n.cast("bigint").alias("n")),
         lambda d: F.array(
             *[
                 F.struct(
-                    (F.pmod(F.xxhash64(d["x"], F.lit(table), size), size) + table * size).alias("cell"),
+                    (F.shiftrightunsigned(d["x"], 20 * table).bitwiseAND(size - 1) + table * size).alias("cell"),
                     d["n"].alias("n"), d["x"].alias("x"), d["c"].alias("c"),
                 )
                 for table in range(TABLES)
@@ -69,27 +69,25 @@ def _entries(digest: Column, size: Column, n: Column) -> Column:
 
 
 def _summed(entries: Column) -> Column:
-    """Entries of a cell as one; cells with nothing left go."""
+    """Entries of a cell as one, in order; cells with nothing left go."""
 
-    def runs(rows: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (rows[i]["cell"] != F.get(rows, i - 1)["cell"]))
-        return let(
-            F.struct(rows.alias("rows"), F.concat(first, F.array(F.size(rows))).alias("at")),
-            lambda r: F.transform(F.slice(r["at"], 1, F.size(r["at"]) - 1), lambda at, k: total(F.slice(r["rows"], at + 1, r["at"][k + 1] - at))),
+    def merged(a: Column, b: Column) -> Column:
+        return F.struct(
+            a["cell"].alias("cell"), (a["n"] + b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x"), a["c"].bitwiseXOR(b["c"]).alias("c")
         )
 
-    def total(rows: Column) -> Column:
-        return F.when(F.size(rows) == 1, rows[0]).otherwise(
-            F.aggregate(
-                F.slice(rows, 2, F.size(rows)), rows[0],
-                lambda a, b: F.struct(
-                    a["cell"].alias("cell"), (a["n"] + b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x"), a["c"].bitwiseXOR(b["c"]).alias("c")
-                ),
-            )
-        )
+    def cells(r: Column) -> Column:
+        def total(at: Column, k: Column) -> Column:
+            return F.aggregate(F.slice(r["rows"], at + 2, r["at"][k + 1] - at - 1), r["rows"][at], merged)
 
-    cells = F.when(F.size(entries) == 0, entries).otherwise(let(F.sort_array(entries), runs))
-    return F.filter(cells, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0)).cast(_CELLS)
+        return F.transform(F.slice(r["at"], 1, F.size(r["at"]) - 1), total)
+
+    def runs(rows: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (rows[i]["cell"] != F.get(rows, i - 1)["cell"]))
+        starts = F.struct(rows.alias("rows"), F.concat(first, F.array(F.size(rows))).alias("at"))
+        return F.when(F.size(rows) == 0, rows).otherwise(let(starts, cells))
+
+    return F.filter(let(F.sort_array(entries), runs), lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0)).cast(_CELLS)
 
 
 def sketch(found: Column, size: Column) -> Column:
@@ -105,23 +103,32 @@ def subtract(mine: Column, theirs: Column) -> Column:
 
 def peel(cells: Column, size: Column) -> Column:
     """``only`` (digest, sign) recovered from a difference, and the ``cells`` that are left: none if all of it was."""
-    nothing = F.array().cast("array<struct<x:bigint,n:bigint>>")
+    state = f"struct<stuck:boolean,cells:{_CELLS},only:array<struct<x:bigint,n:bigint>>>"
+
+    def alone(cells: Column, sign: int) -> Column:
+        found = F.filter(cells, lambda c: (c["n"] == sign) & (_check(c["x"]) == c["c"]))
+        return F.transform(F.array_distinct(F.transform(found, lambda c: c["x"])), lambda x: F.struct(x.alias("x"), F.lit(sign).cast("bigint").alias("n")))
+
+    def less(cells: Column, got: Column) -> Column:
+        return _summed(F.concat(cells, F.flatten(F.transform(got, lambda g: _entries(g["x"], size, -g["n"]))).cast(_CELLS)))
 
-    def step(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["x"]) == c["c"]))
-        got = F.array_distinct(F.transform(single, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
+    def step(acc: Column, _: Column) -> Column:
+        got = F.concat(alone(acc["cells"], 1), alone(acc["cells"], -1))
         out = let(
-            F.struct(state.alias("state"), got.alias("got")),
-            lambda s: F.when(F.size(s["got"]) == 0, s["state"]).otherwise(
-                F.struct(
-                    _summed(F.concat(s["state"]["cells"], F.flatten(F.transform(s["got"], lambda g: _entries(g["x"], size, -g["n"]))).cast(_CELLS))).alias("cells"),
-                    F.concat(s["state"]["only"], s["got"]).alias("only"),
-                )
+            F.struct(acc.alias("acc"), got.alias("got")),
+            lambda s: F.when(
+                F.size(s["got"]) == 0, F.struct(F.lit(True).alias("stuck"), s["acc"]["cells"].alias("cells"), s["acc"]["only"].alias("only")).cast(state)
+            ).otherwise(
+                let(
+                    less(s["acc"]["cells"], s["got"]),
+                    lambda left: F.struct((F.size(left) == 0).alias("stuck"), left.alias("cells"), F.concat(s["acc"]["only"], s["got"]).alias("only")),
+                ).cast(state)
             ),
         )
-        return F.when(F.size(state["cells"]) == 0, state).otherwise(out)
+        return F.when(acc["stuck"], acc).otherwise(out)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), F.struct(cells.alias("cells"), nothing.alias("only")), step)
+    begin = let(cells, lambda c: F.struct((F.size(c) == 0).alias("stuck"), c.alias("cells"), F.array().alias("only")).cast(state))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), begin, step)
 
 
 def difference(mine: Column, theirs: Column, cells: int, first: Column | None = None) -> Column:
