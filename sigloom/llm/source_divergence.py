@@ -58,7 +58,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             terms = list(found)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([group[0]] * len(terms)), pa.array([group[1]] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
+                    pa.array([group[0]] * len(terms), pa.string()), pa.array([group[1]] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
                     pa.array([found[t] for t in terms], pa.int64()), pa.array([docs[group][t] for t in terms], pa.int64()),
                 ],
                 ["lang", "source", "term", "n", "docs"],
