@@ -45,7 +45,10 @@ class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxI
         def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return _loss_sums(rows, weights, width, logistic, n, self.getRegParam())
 
-        weights = minimise_all(evaluate, np.zeros((classes, width + 1)), self.getMaxIter(), self.getTol())
+        def along(weights: np.ndarray, direction: np.ndarray, steps: np.ndarray) -> np.ndarray:
+            return _loss_along(rows, weights, direction, steps, width, logistic, n, self.getRegParam())
+
+        weights = minimise_all(evaluate, along, np.zeros((classes, width + 1)), self.getMaxIter(), self.getTol())
         rows.unpersist()
         return MatrixModel(
             inputCol=column, outputCol=self.getOutputCol(), kernel="logistic_probability" if logistic else "linear",
@@ -53,57 +56,93 @@ class OneVsRestLinear(Estimator, HasInputCol, HasLabelCol, HasOutputCol, HasMaxI
         )
 
 
-def _loss_sums(rows, weights, width, logistic, n, penalty) -> tuple[np.ndarray, np.ndarray]:
-    """Objective and gradient of every class at its row of ``weights`` (the intercept last)."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def _panels(batches, width: int, classes: int):
+    """Rows as dense panels, with +1 for their class and -1 for the others."""
+    step = max(1, CELLS_PER_PANEL // max(width, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            y = batch.column("y").to_numpy()[at : at + step]
+            yield dense_rows(batch.column("v").slice(at, step), width), np.where(y[:, None] == np.arange(classes), 1.0, -1.0)
+
+
+def _losses(margin: np.ndarray, logistic: bool) -> np.ndarray:
+    return np.logaddexp(0, -margin) if logistic else np.maximum(1 - margin, 0)
+
+
+def _added(rows, kernel, sent: np.ndarray, shape: tuple[int, ...], tasks: int) -> np.ndarray:
+    """Sum over all tasks of the array that ``kernel(batches, sent)`` makes of a task's rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches):
-        w = shared.value
-        total = np.zeros((len(w), width + 2))
-        for batch in batches:
-            step = max(1, CELLS_PER_PANEL // max(width, 1))
-            for at in range(0, batch.num_rows, step):
-                x = dense_rows(batch.column("v").slice(at, step), width)
-                y = batch.column("y").to_numpy()[at : at + step]
-                side = np.where(y[:, None] == np.arange(len(w)), 1.0, -1.0)
-                margin = side * (x @ w[:, :-1].T + w[:, -1])
-                if logistic:
-                    pull = -side * 0.5 * (1 - np.tanh(0.5 * margin))
-                    total[:, -1] += np.logaddexp(0, -margin).sum(axis=0)
-                else:
-                    pull = np.where(margin < 1, -side, 0.0)
-                    total[:, -1] += np.maximum(1 - margin, 0).sum(axis=0)
-                total[:, :-2] += pull.T @ x
-                total[:, -2] += pull.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["cells"])
-
-    parts = rows.mapInArrow(run, "cells array<double>")
-    total = np.zeros((len(weights), width + 2))
-    if -(-n * width // CELLS_PER_TASK) > MANY_PARTS:  # sums of many tasks are added up on the cluster
+        cells = kernel(batches, shared.value).ravel().tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.float64()))], ["cells"])
+
+    parts, total = rows.mapInArrow(run, "cells array<double>"), np.zeros(shape)
+    if tasks > MANY_PARTS:  # sums of many tasks are added up on the cluster
         cells = parts.select(F.posexplode("cells").alias("at", "cell")).groupBy("at").agg(F.sum("cell").alias("cell"))
         for r in cells.collect():
             total.flat[r["at"]] = r["cell"]
     else:
         for r in parts.collect():
-            total += np.reshape(r["cells"], total.shape)
-    shared.unpersist()
-    total /= max(n, 1)
+            total += np.reshape(r["cells"], shape)
+    shared.destroy()
+    return total
+
+
+def _loss_sums(rows, weights, width, logistic, n, penalty) -> tuple[np.ndarray, np.ndarray]:
+    """Objective and gradient of every class at its row of ``weights`` (the intercept last)."""
+
+    def kernel(batches, w):
+        total = np.zeros((len(w), width + 2))
+        for x, side in _panels(batches, width, len(w)):
+            margin = side * (x @ w[:, :-1].T + w[:, -1])
+            pull = -side * (0.5 * (1 - np.tanh(0.5 * margin)) if logistic else margin < 1)
+            total[:, -1] += _losses(margin, logistic).sum(axis=0)
+            total[:, :-2] += pull.T @ x
+            total[:, -2] += pull.sum(axis=0)
+        return total
+
+    total = _added(rows, kernel, weights, (len(weights), width + 2), -(-n * width // CELLS_PER_TASK)) / max(n, 1)
     inner = weights[:, :-1]
     total[:, :-2] += penalty * inner
     return total[:, -1] + penalty / 2 * (inner * inner).sum(axis=1), total[:, :-1]
 
 
+def _loss_along(rows, weights, direction, steps, width, logistic, n, penalty) -> np.ndarray:
+    """Objective of every class after each of its ``steps`` along its direction.
+
+    Margins change linearly along a line, so a pass needs two products whatever the number of steps.
+    """
+
+    def kernel(batches, sent):
+        w, d = sent
+        total = np.zeros(steps.shape)
+        for x, side in _panels(batches, width, len(w)):
+            margin, change = (side * (x @ a[:, :-1].T + a[:, -1]) for a in (w, d))
+            for t in range(steps.shape[1]):
+                total[:, t] += _losses(margin + steps[:, t] * change, logistic).sum(axis=0)
+        return total
+
+    total = _added(rows, kernel, np.stack([weights, direction]), steps.shape, -(-n * width // CELLS_PER_TASK)) / max(n, 1)
+    moved = weights[:, None, :-1] + steps[:, :, None] * direction[:, None, :-1]
+    return total + penalty / 2 * (moved * moved).sum(axis=2)
+
+
 CELLS_PER_TASK = 500_000
 MANY_PARTS = 64
 MEMORY = 10
-HALVINGS = 12
+#: factors of a first guess at the step length that one pass tries
+STEPS = 4.0 ** np.arange(-6, 5)
+FINER = 2.0 ** (np.arange(-6, 7) / 3.0)
 
 
-def minimise_all(evaluate, weights: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+def minimise_all(evaluate, along, weights: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
     """Limited-memory BFGS for several separate objectives that are evaluated together.
 
-    ``evaluate`` maps all rows of weights to their values and gradients. Every row has its own history and step
-    length; one that gains less than ``tol`` of its value in three steps in a row, or finds no descent, stays where it is.
+    ``evaluate`` maps all rows of weights to their values and gradients, ``along`` gives the values after several steps along a
+    direction. A step takes three passes: two look for the best length on the line (first over ten powers of four, then around the
+    best of them), one evaluates there. Every row has its own history; one that gains less than ``tol`` of its value in three steps in
+    a row, or finds no descent, stays where it is.
     """
     value, slope = evaluate(weights)
     rows = range(len(weights))
@@ -118,34 +157,26 @@ def minimise_all(evaluate, weights: np.ndarray, max_iter: int, tol: float) -> np
             if direction[k] @ slope[k] >= 0:
                 history[k].clear()
                 direction[k] = -slope[k]
-        step = np.array([1.0 if history[k] else 1.0 / max(1.0, float(np.linalg.norm(slope[k]))) for k in rows])
-        todo, moved = set(open_), {}
-        for _ in range(HALVINGS):
-            trial = weights.copy()
-            for k in todo:
-                trial[k] += step[k] * direction[k]
-            found, grown = evaluate(trial)
-            for k in sorted(todo):
-                if found[k] <= value[k] + 1e-4 * step[k] * float(direction[k] @ slope[k]):
-                    moved[k] = (trial[k], found[k], grown[k])
-                    todo.discard(k)
-                else:
-                    step[k] /= 2
-            if not todo:
-                break
+        guess = np.array([1.0 if history[k] else 1.0 / max(1e-12, float(np.linalg.norm(slope[k]))) for k in rows])
+        for factors in (STEPS, FINER):
+            steps = guess[:, None] * factors
+            found = along(weights, direction, steps)
+            guess = steps[rows, found.argmin(axis=1)]
+        gains = found.min(axis=1) < value
+        moved = weights + np.where(gains, guess, 0.0)[:, None] * direction
+        now, gradient = evaluate(moved)
         for k in sorted(open_):
-            if k not in moved:
+            if not gains[k]:
                 if history[k]:
                     history[k].clear()  # once more along the gradient
                 else:
                     open_.discard(k)
                 continue
-            place, now, gradient = moved[k]
-            s, y = place - weights[k], gradient - slope[k]
+            s, y = moved[k] - weights[k], gradient[k] - slope[k]
             if s @ y > 1e-10 * (y @ y):
                 history[k] = [*history[k][1 - MEMORY :], (s, y)]
-            idle[k] = idle[k] + 1 if value[k] - now <= tol * max(abs(float(now)), 1e-12) else 0
-            weights[k], value[k], slope[k] = place, now, gradient
+            idle[k] = idle[k] + 1 if value[k] - now[k] <= tol * max(abs(float(now[k])), 1e-12) else 0
+            weights[k], value[k], slope[k] = moved[k], now[k], gradient[k]
             if idle[k] >= 3:
                 open_.discard(k)
     return weights
