@@ -64,6 +64,22 @@ def dense_rows(vectors: pa.StructArray, width: int) -> np.ndarray:
     return out
 
 
+def sparse_cells(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and value of the non-zero entries of unwrapped vectors, dense or sparse."""
+    values, indices = vectors.field("values"), vectors.field("indices")
+    v_flat, v_at = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+    sizes = np.diff(v_at)
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    feature = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    sparse = vectors.field("type").to_numpy(zero_copy_only=False) == 0
+    if sparse.any():
+        i_flat, i_at = indices.values.to_numpy(zero_copy_only=False), indices.offsets.to_numpy()
+        feature[sparse[row]] = i_flat[i_at[0] : i_at[-1]][: int(sizes[sparse].sum())]
+    value = v_flat[v_at[0] : v_at[-1]] if len(v_at) else np.zeros(0)
+    kept = value != 0
+    return row[kept], feature[kept], value[kept]
+
+
 def map_rows(column: str, width: int, kernel: Callable[[np.ndarray], np.ndarray]) -> Column:
     """Vector column to vector column through ``kernel(rows x width) -> rows x anything``.
 
