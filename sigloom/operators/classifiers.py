@@ -6,18 +6,22 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mlc
-from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.feature import ElementwiseProduct, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.operators import moments
 from sigloom.operators.boosting import AdaBoost
 from sigloom.operators.centroids import NearestCentroid
 from sigloom.operators.discriminant import LDA, QDA
 from sigloom.operators.margins import FourierFeatures, OneVsRestLinear, PolynomialSketch
+from sigloom.operators.models import MatrixModel
 from sigloom.operators.neighbors import KNN
 from sigloom.operators.transforms import TruncatedSVD, UnitVarianceScaler
 
@@ -195,6 +199,50 @@ class FittedClassifier:
         return out.select("sample_id", names[chosen].alias("cls"), F.lit(None).cast("double").alias("prob"))
 
 
+#: classifiers made of class moments: the kernel that applies them, and what it needs
+MOMENT_MODELS = {
+    "nearest-centroid-mean": ("nearest_euclidean", moments.centroid_parts),
+    "gaussian-naive-bayes": ("bayes_probability", moments.bayes_parts),
+    "lda": ("linear_probability", moments.lda_parts),
+    "qda": ("gaussian_probability", moments.qda_parts),
+}
+
+
+def reduced_width(avg_nonzero: int, width: int, n: float, options: Options) -> int:
+    return max(1, min(math.ceil(avg_nonzero * options.dim_reduce_fraction), width, int(n)))
+
+
+def fit_moments(
+    name: str, classes: dict[str, moments.Moments], avg_nonzero: int, options: Options | None = None
+) -> tuple[FittedClassifier, float | None]:
+    """Fit one of ``MOMENT_MODELS`` on the moments of each class alone, without a pass over any row.
+
+    Returns the classifier and the share of variance its reduction keeps (none without normalisation).
+    """
+    options = options or Options()
+    labels = sorted(classes)
+    own, source, stages, ratio = [classes[label] for label in labels], "features", [], None
+    if not own:
+        raise ValueError("no training rows")
+    width = len(own[0].mean)
+    if not options.skip_normalization:
+        factors = moments.scaling(moments.merge_all(own))
+        scaled = [m.turned(np.diag(factors)) for m in own]
+        whole = moments.merge_all(scaled)
+        axes = moments.leading_axes(whole, reduced_width(avg_nonzero, width, whole.n, options))
+        own = [m.turned(axes) for m in scaled]
+        before = whole.variance().sum()
+        ratio = float(whole.turned(axes).variance().sum() / before) if before > 0 else 0.0
+        stages = [
+            ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol="features", outputCol="scaled"),
+            MatrixModel(inputCol="scaled", outputCol="reduced", kernel="project", width=width, parts={"axes": axes}),
+        ]
+        source, width = "reduced", axes.shape[1]
+    kernel, parts = MOMENT_MODELS[name]
+    head = MatrixModel(inputCol=source, outputCol=RECIPES[name].answer, kernel=kernel, width=width, parts=parts(own))
+    return FittedClassifier(name, labels, PipelineModel(stages=[*stages, head])), ratio
+
+
 def fit_classifier(
     name: str, train: DataFrame, width: int, avg_nonzero: int, options: Options | None = None
 ) -> FittedClassifier:
@@ -217,7 +265,7 @@ def fit_classifier(
     rows = StringIndexerModel.from_labels(labels, inputCol="group", outputCol="label").transform(train)
     prepared, source, done = rows, "features", []
     if not options.skip_normalization:
-        width = max(1, min(math.ceil(avg_nonzero * options.dim_reduce_fraction), width, n))
+        width = reduced_width(avg_nonzero, width, n, options)
         fitted = Pipeline(stages=preparation(source, width)).fit(rows)
         prepared, source, done = fitted.transform(rows), "reduced", fitted.stages
     # classifiers pass over their training rows many times

@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sigloom.operators.models import MatrixModel
-from sigloom.operators.transforms import row_matrix
-
-RANK_CUT = 1e-10
-
-
-def class_means(dataset, label: str, column: str):
-    """Class sizes and means, indexed by label; one row per class is fetched."""
-    stats = dataset.groupBy(label).agg(Summarizer.metrics("count", "mean").summary(F.col(column)).alias("s"))
-    rows = sorted(stats.select(F.col(label).cast("int").alias("l"), "s.count", "s.mean").collect(), key=lambda r: r["l"])
-    sizes = np.array([r["count"] for r in rows], float)
-    return sizes, np.array([r["mean"].toArray() for r in rows])
-
-
-def _whitening(covariance: np.ndarray):
-    """Matrix that whitens a covariance on its range, and the log of its determinant there."""
-    values, vectors = np.linalg.eigh(covariance)
-    values = np.maximum(values, RANK_CUT * max(values.max(), 1e-300))
-    return vectors / np.sqrt(values), float(np.log(values).sum())
+from sigloom.operators.moments import grouped_moments, lda_parts, qda_parts
 
 
 class _Discriminant(Estimator, HasInputCol, HasLabelCol, HasOutputCol):
@@ -37,43 +18,25 @@ class _Discriminant(Estimator, HasInputCol, HasLabelCol, HasOutputCol):
         self._setDefault(labelCol="label", outputCol="probability")
         self._set(**self._input_kwargs)
 
-    def _model(self, kernel, width, parts):
-        return MatrixModel(
-            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel=kernel, width=int(width), parts=parts
-        )
+    def _fit(self, dataset):
+        """One aggregation gives the moments of all classes."""
+        column, label = self.getInputCol(), self.getLabelCol()
+        width = int(dataset.select(column).first()[0].size)
+        rows = dataset.select(column, F.col(label).cast("int").alias("_label"))
+        found = grouped_moments(rows, column, ["_label"], width)
+        kernel, parts = self._model([found[key] for key in sorted(found)])
+        return MatrixModel(inputCol=column, outputCol=self.getOutputCol(), kernel=kernel, width=width, parts=parts)
 
 
 class LDA(_Discriminant):
-    """Common covariance: linear scores. One pass for the scatter of all rows."""
+    """Common covariance: linear scores."""
 
-    def _fit(self, dataset):
-        column = self.getInputCol()
-        sizes, means = class_means(dataset, self.getLabelCol(), column)
-        n, classes = sizes.sum(), len(sizes)
-        if n <= classes:
-            raise ValueError("the number of samples must exceed the number of classes")
-        within = row_matrix(dataset, column).computeGramianMatrix().toArray() - (means.T * sizes) @ means
-        values, vectors = np.linalg.eigh(within / (n - classes))
-        keep = values > RANK_CUT * max(values.max(), 1e-300)
-        inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-        weights = means @ inverse
-        bias = np.log(sizes / n) - 0.5 * (weights * means).sum(axis=1)
-        return self._model("linear_probability", means.shape[1], {"weights": weights, "bias": bias})
+    def _model(self, classes):
+        return "linear_probability", lda_parts(classes)
 
 
 class QDA(_Discriminant):
-    """One covariance per class; each class's scatter is a pass over that class's rows."""
+    """One covariance per class."""
 
-    def _fit(self, dataset):
-        column, label = self.getInputCol(), self.getLabelCol()
-        sizes, means = class_means(dataset, label, column)
-        if (sizes < 2).any():
-            raise ValueError("every class needs two samples to have a covariance")
-        whitening, offsets = [], []
-        for c, (size, mean) in enumerate(zip(sizes, means)):
-            gram = row_matrix(dataset.where(F.col(label) == c), column).computeGramianMatrix().toArray()
-            white, log_det = _whitening((gram - size * np.outer(mean, mean)) / (size - 1))
-            whitening.append(white.ravel())
-            offsets.append(np.log(size / sizes.sum()) - 0.5 * log_det)
-        parts = {"means": means, "whitening": np.array(whitening), "offsets": np.array(offsets)}
-        return self._model("gaussian_probability", means.shape[1], parts)
+    def _model(self, classes):
+        return "gaussian_probability", qda_parts(classes)

@@ -70,6 +70,12 @@ def gaussian_probability(x, parts):
     return softmax(np.stack(scores, axis=1))
 
 
+def bayes_probability(x, parts):
+    """Class densities of independent features."""
+    scores = [o - 0.5 * np.square((x - m) * s).sum(axis=1) for m, s, o in zip(parts["means"], parts["scales"], parts["offsets"])]
+    return softmax(np.stack(scores, axis=1))
+
+
 def stump_probability(x, parts):
     """Weighted votes of one-split trees."""
     classes = int(parts["classes"][0])
@@ -86,7 +92,7 @@ KERNELS = {
     f.__name__: f
     for f in (
         project, fourier, tensor_sketch, nearest_euclidean, nearest_manhattan, linear, linear_probability,
-        logistic_probability, gaussian_probability, stump_probability,
+        logistic_probability, gaussian_probability, bayes_probability, stump_probability,
     )
 }
 

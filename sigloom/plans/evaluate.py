@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators import ranking
-from sigloom.operators.classifiers import FittedClassifier, Options, fit_classifier
+from sigloom.operators.classifiers import MOMENT_MODELS, FittedClassifier, Options, fit_classifier, fit_moments
 from sigloom.operators.distances import distance_features
 from sigloom.operators.folds import assign_folds
 from sigloom.operators.folds import test_split as held_out
 from sigloom.operators.folds import train_split
+from sigloom.operators.moments import Moments, grouped_moments, merge_all
 from sigloom.operators.transforms import explained_variance_ratio
 
 LOG = logging.getLogger("sigloom.evaluate")
@@ -62,6 +63,23 @@ def _iterations(fitted: FittedClassifier) -> float | None:
     return float(summary.totalIterations)
 
 
+#: cells of all folds' and classes' scatter matrices up to which they are kept together
+MOMENT_CELLS = 16_000_000
+
+
+def _fold_moments(table: DataFrame, names: list[str], width: int) -> dict[tuple[int, str], Moments]:
+    """Moments of every fold and class, from one scan."""
+    label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("group")).cast("int") - 1
+    rows = table.select("fold", label.alias("label"), "features")
+    return {(fold, names[k]): m for (fold, k), m in grouped_moments(rows, "features", ["fold", "label"], width).items()}
+
+
+def _training_moments(by_fold: dict[tuple[int, str], Moments], fold: int) -> dict[str, Moments]:
+    """Moments of each class over all folds but one."""
+    kept = [(name, m) for (f, name), m in sorted(by_fold.items(), key=lambda x: x[0]) if f != fold]
+    return {name: merge_all(m for other, m in kept if other == name) for name in {n for n, _ in kept}}
+
+
 FOLD_STATS = "fold int, train_time double, test_time double, iterations double, reduced_variance_ratio double"
 
 
@@ -80,7 +98,9 @@ def cross_validate(
 
     ``features`` is ``(sample_id, features VECTOR)`` and ``samples`` has ``sample_id,
     group`` and the ``split_by`` column. With ``distances`` (a full matrix) the
-    features of a fold are the distances to its training samples instead.
+    features of a fold are the distances to its training samples instead. Classifiers made of class moments (centroid
+    means, Bayes, both discriminants) and their preparation are fitted for all folds from one scan, whose moments per fold and class
+    are merged into those of each training set.
     """
     options = options or Options(seed=seed)
     folded = assign_folds(samples, v, seed, split_by).persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,6 +112,13 @@ def cross_validate(
         )
         average = nonzero_average(table)
         width = width or table.first()["features"].size
+    by_fold, shared = None, 0.0
+    if distances is None and classifier in MOMENT_MODELS:
+        start = time.monotonic()
+        names = sorted(r["group"] for r in folded.select("group").distinct().collect())
+        if v * len(names) * width * width <= MOMENT_CELLS:
+            by_fold = _fold_moments(table, names, width)
+            shared = (time.monotonic() - start) / v
     for fold in range(v):
         if distances is not None:
             train_ids = train_split(folded, fold).select("sample_id")
@@ -101,8 +128,11 @@ def cross_validate(
                 StorageLevel.MEMORY_AND_DISK
             )
             average, width = nonzero_average(table), train_ids.count()
-        start = time.monotonic()
-        fitted = fit_classifier(classifier, train_split(table, fold).drop("fold"), width, average, options)
+        start, ratio = time.monotonic() - shared, None
+        if by_fold is not None:
+            fitted, ratio = fit_moments(classifier, _training_moments(by_fold, fold), average, options)
+        else:
+            fitted = fit_classifier(classifier, train_split(table, fold).drop("fold"), width, average, options)
         trained = time.monotonic()
         scored = fitted.scores(held_out(table, fold).select("sample_id", "features"))
         truth = held_out(folded, fold).select("sample_id", "fold", F.col("group").alias("actual"))
@@ -110,8 +140,7 @@ def cross_validate(
         outcome = outcome.persist(StorageLevel.MEMORY_AND_DISK)
         outcome.count()
         tested = time.monotonic()
-        ratio = None
-        if not options.skip_normalization:
+        if by_fold is None and not options.skip_normalization:
             projected = fitted.model.stages[1].transform(fitted.model.stages[0].transform(train_split(table, fold)))
             ratio = explained_variance_ratio(projected, "scaled", "reduced")
         stats.append((fold, trained - start, tested - trained, _iterations(fitted), ratio))
