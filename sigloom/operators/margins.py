@@ -132,17 +132,16 @@ CELLS_PER_TASK = 500_000
 MANY_PARTS = 64
 MEMORY = 10
 #: factors of a first guess at the step length that one pass tries
-STEPS = 4.0 ** np.arange(-6, 5)
-FINER = 2.0 ** (np.arange(-6, 7) / 3.0)
+STEPS = 2.0 ** np.arange(-12, 11)
 
 
 def minimise_all(evaluate, along, weights: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
     """Limited-memory BFGS for several separate objectives that are evaluated together.
 
     ``evaluate`` maps all rows of weights to their values and gradients, ``along`` gives the values after several steps along a
-    direction. A step takes three passes: two look for the best length on the line (first over ten powers of four, then around the
-    best of them), one evaluates there. Every row has its own history; one that gains less than ``tol`` of its value in three steps in
-    a row, or finds no descent, stays where it is.
+    direction. A step takes two passes: one looks for the best length on the line, over all of ``STEPS`` at once, and one
+    evaluates there. Every row has its own history; one that gains less than ``tol`` of its value in three steps in a row, or finds no
+    descent, stays where it is.
     """
     value, slope = evaluate(weights)
     rows = range(len(weights))
@@ -158,12 +157,11 @@ def minimise_all(evaluate, along, weights: np.ndarray, max_iter: int, tol: float
                 history[k].clear()
                 direction[k] = -slope[k]
         guess = np.array([1.0 if history[k] else 1.0 / max(1e-12, float(np.linalg.norm(slope[k]))) for k in rows])
-        for factors in (STEPS, FINER):
-            steps = guess[:, None] * factors
-            found = along(weights, direction, steps)
-            guess = steps[rows, found.argmin(axis=1)]
+        steps = guess[:, None] * STEPS
+        found = along(weights, direction, steps)
+        best = steps[rows, found.argmin(axis=1)]
         gains = found.min(axis=1) < value
-        moved = weights + np.where(gains, guess, 0.0)[:, None] * direction
+        moved = weights + np.where(gains, best, 0.0)[:, None] * direction
         now, gradient = evaluate(moved)
         for k in sorted(open_):
             if not gains[k]:
