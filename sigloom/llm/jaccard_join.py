@@ -156,7 +156,9 @@ def candidate_sets(texts: DataFrame, settings: Settings) -> DataFrame:
             )
 
     schema = "doc_id bigint, row bigint, n bigint, loose bigint, sig binary, tokens binary"
-    return stored(texts.mapInArrow(run, schema), "shingle-sets")
+    sets = stored(texts.mapInArrow(run, schema), "shingle-sets")
+    seen.destroy()
+    return sets
 
 
 def prefixes(sets: DataFrame, settings: Settings, shared_bits, late_bits) -> DataFrame:
@@ -222,7 +224,9 @@ def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
         settings.candidates, 2, settings.frequent, column="tokens",
     )
     shared_bits, late_bits = spark.sparkContext.broadcast(bits[0]), spark.sparkContext.broadcast(bits[1])
+    del bits
     entries = stored(prefixes(sets, settings, shared_bits, late_bits), "prefixes")
+    shared_bits.destroy()
     t = settings.percent / 100
     central = F.struct((F.col("loose") / F.col("n")).alias("share"), "sig", "n")
     buckets = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(central).alias("rep")).where("size > 1")
@@ -247,6 +251,7 @@ def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
     )
     pairs = x.join(y, fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("probe")).distinct()
     second = stored(confirmed(stored(pairs, "second-pairs"), sets, settings, late_bits), "second-links")
+    late_bits.destroy()
     return first.unionByName(second)
 
 
