@@ -148,13 +148,13 @@ def sorted_classes(spark, sf_dir):
     return listed.select(F.posexplode("_g").alias("_p", "group")).select("group", (F.col("_p") + 1).alias("position"))
 
 
-COORDS = """co AS (SELECT vec_id AS sample_id, label, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x,
-  generate_subscripts(embedding[1:10], 1) - 1 AS axis FROM embeddings),
+COORDS = """co AS (SELECT vec_id AS sample_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+  generate_subscripts(embedding, 1) - 1 AS axis FROM embeddings),
   rng AS (SELECT axis, min(x) AS low, max(x) AS high FROM co GROUP BY axis)"""
 
 
 def _coords(spark, sf_dir):
-    return E.first_dims(points(spark, sf_dir).select("sample_id", F.col("values").alias("coords")), 10)
+    return points(spark, sf_dir).select("sample_id", F.col("values").alias("coords"))
 
 
 @REGISTRY.query(f"WITH {COORDS} SELECT CAST(axis AS INTEGER) AS axis, low, high FROM rng")
