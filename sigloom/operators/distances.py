@@ -4,14 +4,14 @@ A distance matrix compares every sample with every other one, so its cost is
 quadratic in the number of samples whatever the plan. What the plan decides is
 where that work sits. A join on the k-mer would pile it up on the few k-mers all
 samples share; here samples are dealt into blocks and k-mers into slices, one
-task compares two blocks over one slice, and partial sums over slices are added.
-Every task therefore holds two bounded chunks, however skewed the data is.
+group compares two blocks and reads their slices one after the other, so that it
+adds up in one n x m array and holds two bounded chunks, however skewed the data is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,10 @@ CELLS_PER_CHUNK = 1_000_000
 DENSE_CELLS = 2_000_000
 
 
-def _side(table: pa.Table, row: int):
-    roster = table["roster"][row].values
-    cells = table["cells"][row].values
+def _side(batch: pa.RecordBatch, row: int):
+    """One chunk: the block's sample ids, and the row, feature and value of every cell."""
+    roster = batch.column("roster")[row].values
+    cells = batch.column("cells")[row].values
     if cells is None or len(cells) == 0:
         return roster, np.empty(0, np.int64), None, np.empty(0)
     rows = pc.index_in(cells.field("sample_id"), value_set=roster).to_numpy(zero_copy_only=False)
@@ -99,33 +100,56 @@ def _sparse_parts(n, m, left, right):
     return apart.reshape(n, m), common.reshape(n, m)
 
 
-def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Partial sums for every pair of samples of two blocks, over one slice."""
-    blocks = table["block"].to_pylist()
-    at_left, at_right = blocks.index(key[0].as_py()), blocks.index(key[1].as_py())
-    ids_a, ra, fa, va = _side(table, at_left)
-    ids_b, rb, fb, vb = _side(table, at_right)
+def _slice_parts(left, right):
+    """Sums of one slice for two sides: apart and common per pair, and the features present on either side."""
+    ids_a, ra, fa, va = left
+    ids_b, rb, fb, vb = right
     ca, cb, width = _feature_numbers(fa, fb)
     n, m = len(ids_a), len(ids_b)
-    left, right = (ra, ca, va), (rb, cb, vb)
-    if width == 0:
-        apart, common = np.zeros((n, m)), np.zeros((n, m))
-    else:
+    apart, common = np.zeros((n, m)), np.zeros((n, m))
+    if width:
         met = np.bincount(ca, minlength=width).astype(float) @ np.bincount(cb, minlength=width)
         # touching one sparse pair costs about ten dense cells
         pick_sparse = met * 10 < float(n) * m * width
-        apart, common = _sparse_parts(n, m, left, right) if pick_sparse else _dense_parts(n, m, width, left, right)
-    na = np.bincount(ra, va != 0, minlength=n)
-    nb = np.bincount(rb, vb != 0, minlength=m)
-    i, j = np.triu_indices(n, 1) if at_left == at_right else (x.ravel() for x in np.indices((n, m)))
-    return pa.table(
-        {
-            "a": ids_a.take(pa.array(i)),
-            "b": ids_b.take(pa.array(j)),
-            "apart": apart[i, j],
-            "common": common[i, j],
-            "present": na[i] + nb[j],
-        }
+        sides = (ra, ca, va), (rb, cb, vb)
+        apart, common = _sparse_parts(n, m, *sides) if pick_sparse else _dense_parts(n, m, width, *sides)
+    return apart, common, np.bincount(ra, va != 0, minlength=n), np.bincount(rb, vb != 0, minlength=m)
+
+
+def _add_slices(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums for every pair of samples of two blocks, over all slices of the group.
+
+    A slice is compared as soon as both its chunks have been read. They come in the order of the slices, so only one chunk
+    waits for its partner; any other order would give the same sums.
+    """
+    i, j = key[0].as_py(), key[1].as_py()
+    waiting, total, ids = {}, None, ()
+    for batch in batches:
+        slices, blocks = batch.column("slice").to_pylist(), batch.column("block").to_pylist()
+        for row, (number, block) in enumerate(zip(slices, blocks)):
+            side = _side(batch, row)
+            if i == j:
+                left = right = side
+            elif number not in waiting:
+                waiting[number] = side
+                continue
+            else:
+                partner = waiting.pop(number)
+                left, right = (side, partner) if block == i else (partner, side)
+            parts = _slice_parts(left, right)
+            if total is None:
+                total, ids = [np.array(p, float) for p in parts], (left[0], right[0])
+            else:
+                for have, more in zip(total, parts):
+                    have += more
+    if total is None:
+        return
+    apart, common, na, nb = total
+    n, m = apart.shape
+    x, y = np.triu_indices(n, 1) if i == j else (at.ravel() for at in np.indices((n, m)))
+    yield pa.RecordBatch.from_arrays(
+        [ids[0].take(pa.array(x)), ids[1].take(pa.array(y)), pa.array(apart[x, y]), pa.array(common[x, y]), pa.array(na[x] + nb[y])],
+        ["a", "b", "apart", "common", "present"],
     )
 
 
@@ -141,12 +165,17 @@ def pair_parts(
     value: str = "n",
     width: int | None = None,
     slices: int | None = None,
+    strands: int | None = None,
 ) -> DataFrame:
     """Sums behind all metrics: ``(a, b, apart, common, present)``, one row per unordered pair.
 
     ``width`` is the number of possible features when known (4^k). It settles the
     slice count without looking at the data if a whole block fits one chunk;
     otherwise the largest block is measured, so pass a stored feature table.
+
+    A pair of blocks is one group that reads all its slices in a stream. Only where there are fewer pairs of blocks than task slots
+    (few samples, many features) its slices are dealt into ``strands`` groups, whose sums a second exchange adds: then
+    about as many partial rows as two block pairs per slot have, whatever the number of slices.
     """
     spark = features.sparkSession
     ids = samples.select("sample_id").distinct()
@@ -179,11 +208,14 @@ def pair_parts(
     sides = rosters.join(chunks, ["block", "slice"], "left").withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
+    block_pairs, slots = blocks * (blocks + 1) // 2, spark.sparkContext.defaultParallelism
+    if strands is None:
+        strands = min(slices, math.ceil(2 * slots / block_pairs)) if block_pairs < slots else 1
     jobs = sides.select(
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slice", "block", "roster", "cells"
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.pmod("slice", F.lit(strands)).alias("strand"), "slice", "block", "roster", "cells",
     )
-    tasks = blocks * (blocks + 1) // 2 * slices
-    parts = min(tasks, 4 * spark.sparkContext.defaultParallelism)
+    parts = min(block_pairs * strands, 4 * slots)
     id_type = ids.schema["sample_id"].dataType
     schema = StructType(
         [
@@ -194,12 +226,14 @@ def pair_parts(
             StructField("present", DoubleType()),
         ]
     )
-    # an explicit count keeps small but costly groups from being coalesced into one task
-    pairs = jobs.repartition(parts, "i", "j", "slice").groupBy("i", "j", "slice").applyInArrow(_compare, schema)
+    group = ["i", "j", "strand"]
+    # an explicit count keeps small but costly groups from being coalesced into one task; the grouping needs no other order
+    dealt = jobs.repartition(parts, *group).sortWithinPartitions(*group, "slice")
+    pairs = dealt.groupBy(*group).applyInArrow(_add_slices, schema)
     pairs = pairs.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart", "common", "present"
     )
-    if slices == 1:
+    if strands == 1:
         return pairs
     return pairs.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("apart", "common", "present")])
 
@@ -212,6 +246,7 @@ def distances(
     value: str = "n",
     width: int | None = None,
     slices: int | None = None,
+    strands: int | None = None,
 ) -> DataFrame:
     """Distances ``(metric, a, b, d)`` for every unordered pair, ``a < b``, all metrics in one pass.
 
@@ -223,7 +258,7 @@ def distances(
     unknown = set(wanted) - set(METRICS)
     if unknown or not wanted:
         raise ValueError(f"metrics must be chosen from {METRICS}")
-    parts = pair_parts(features, samples, feature, value, width, slices)
+    parts = pair_parts(features, samples, feature, value, width, slices, strands)
     either = F.col("present") - F.col("common")
     formulas = {
         "manhat": F.col("apart"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.skew import even_split, hash_rank, salted_join
+from sigloom.operators.skew import even_split, hash_rank, measured_join
 
 
 def assign_folds(samples: DataFrame, v: int, seed: int, split_by: str | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def assign_folds(samples: DataFrame, v: int, seed: int, split_by: str | None = N
     ranked = hash_rank(values, "_value", seed, "_rank")
     folds = ranked.select("_value", even_split(F.col("_rank"), F.col("n"), v).alias("fold"))
     keyed = samples.withColumn("_value", F.col(split_by))
-    return salted_join(keyed, folds, ["_value"], ["sample_id"]).drop("_value")
+    return measured_join(keyed, folds, ["_value"], ["sample_id"]).drop("_value")
 
 
 def train_split(samples: DataFrame, fold: int) -> DataFrame:

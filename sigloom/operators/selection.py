@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.sequences import ordinal_name
-from sigloom.operators.skew import ordinal_rank, salted_join
+from sigloom.operators.skew import measured_join, ordinal_rank
 
 
 def groups_by_value(metadata: DataFrame, key: str, min_pts: int) -> DataFrame:
@@ -62,13 +62,13 @@ def _entry_key(entries: DataFrame) -> str:
 def pick_group(metadata: DataFrame, groups: DataFrame, key: str, predicate: Column | None = None) -> DataFrame:
     """Entries whose value of ``key`` a group lists, tagged with its name: one row per (entry, group).
 
-    An equi-join on the exploded group values, salted because one value may own a
-    third of the entries. ``predicate`` further filters the matches and may use
+    An equi-join on the exploded group values; a value that owns many entries is split by
+    their measured number. ``predicate`` further filters the matches and may use
     entry and group columns.
     """
     exploded = groups.withColumn("_value", F.explode(F.array_distinct("values")))
     entries = metadata.withColumn("_value", F.col(key).cast("string"))
-    picked = salted_join(entries, exploded, ["_value"], [_entry_key(metadata)]).drop("_value", "values")
+    picked = measured_join(entries, exploded, ["_value"], [_entry_key(metadata)]).drop("_value", "values")
     return picked if predicate is None else picked.where(predicate)
 
 
@@ -103,7 +103,7 @@ def union_groups(selections: list[DataFrame]) -> DataFrame:
 
 def with_group_options(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """Attach the options of each entry's group."""
-    return salted_join(entries, groups, ["group"], [_entry_key(entries)])
+    return measured_join(entries, groups, ["group"], [_entry_key(entries)])
 
 
 def resolve_member(df: DataFrame) -> DataFrame:

@@ -6,8 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
+
+from sigloom.session import stored
 
 SALTS = 16
+#: keys that a sketch reports, keys that it tracks to find them, and the rows of a key that one task shall join
+HEAVY_KEYS = 1024
+TRACKED_KEYS = 16384
+ROWS_PER_SALT = 1_000_000
+MAX_RANGES = 4096
 HASH_BUCKET_DIGITS = 3
 
 
@@ -34,6 +42,53 @@ def salted_join(
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
+    """One number for the join key; both zeros of a fractional key are one value, as they are to a join."""
+    parts = [F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, FractionalType) else F.col(c) for c in on]
+    return F.xxhash64(*parts)
+
+
+def heavy_keys(df: DataFrame, on: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Keys that own more than ``rows_per_salt`` rows: ``(_key, _salts)``, the hash of the key and its number of sub-keys.
+
+    A frequent-items sketch of fixed size counts the keys in one pass over the key columns; its parts are merged, so no key is
+    shuffled. A key below the ``HEAVY_KEYS`` most frequent ones owns less than a thousandth of all rows and is left whole.
+    """
+    top = df.select(_key_hash(df, on).alias("_key")).agg(F.expr(f"approx_top_k(_key, {HEAVY_KEYS}, {TRACKED_KEYS})").alias("_top"))
+    found = top.select(F.explode("_top").alias("_t")).select(
+        F.col("_t.item").alias("_key"), F.ceil(F.col("_t.count") / F.lit(rows_per_salt)).cast("bigint").alias("_salts")
+    )
+    return found.where(F.col("_salts") > 1)
+
+
+def measured_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    salt_by: Sequence[str],
+    how: str = "inner",
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
+    """Equi-join of a long table with a short one whose keys are split by their measured size.
+
+    A key with r rows in ``big`` is joined by r / ``rows_per_salt`` tasks and its rows of ``small`` are repeated as often; all
+    other keys stay whole and nothing is repeated for them. Sizes are estimates: they decide only how rows are dealt. ``big`` is
+    read twice, once for its key columns alone.
+    """
+    unlike = [c for c in on if big.schema[c].dataType != small.schema[c].dataType]
+    if unlike:
+        raise ValueError(f"key columns of different types: {unlike}")
+    heavy = heavy_keys(big, on, rows_per_salt)
+    salts = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
+    # never null: a nullable salt would be filtered far below the join, once per input row
+    salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), salts), F.lit(0).cast("bigint"))
+    # HEAVY_KEYS rows of two numbers at most
+    long = big.withColumn("_key", _key_hash(big, on)).join(F.broadcast(heavy), "_key", "left").withColumn("_salt", salt)
+    copies = small.withColumn("_key", _key_hash(small, on)).join(F.broadcast(heavy), "_key", "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return long.drop("_key", "_salts").join(copies.drop("_key", "_salts"), [*on, "_salt"], how).drop("_salt")
+
+
 def _with_offsets(counts: DataFrame, order: Sequence[str], of: str = "_n") -> DataFrame:
     """Running row offsets over a bucket table; its row count is bounded by the caller."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,18 +125,21 @@ def ordinal_rank(
 ) -> DataFrame:
     """1-based number over all rows in the order (``group``, ``position``, ``ties``).
 
-    ``position`` is an integer that only rows told apart by ``ties`` share, so a
-    bucket covers ``width`` positions, however large its group is.
+    Rows are cut into ranges of that order, of about ``width`` rows or at most ``MAX_RANGES`` ranges, whose borders Spark takes from a sample; so
+    neither the gaps between positions nor the size of a group matter. The ranges are stored, which fixes them
+    for both of their readers: their sizes are added up in one table of a row per range, and rows are ranked inside their range.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)).cast("bigint"))
-    counts = bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _with_offsets(counts, [group, "_bucket"]).select(group, "_bucket", "_before")
-    inside = Window.partitionBy(group, "_bucket").orderBy(position, *ties)
-    numbered = bucketed.withColumn("_in", F.row_number().over(inside))
+    ranges = max(1, min(MAX_RANGES, -(-df.count() // width)))
+    dealt = df.repartitionByRange(ranges, group, position, *ties).withColumn("_range", F.spark_partition_id())
+    ranged = stored(dealt, "ranges")
+    offsets = _with_offsets(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), ["_range"])
+    inside = Window.partitionBy("_range").orderBy(group, position, *ties)
+    numbered = ranged.withColumn("_in", F.row_number().over(inside))
     return (
-        numbered.join(offsets, [group, "_bucket"])
+        # at most MAX_RANGES rows of two numbers
+        numbered.join(F.broadcast(offsets.select("_range", "_before")), "_range")
         .withColumn(name, (F.col("_in") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_in", "_before")
+        .drop("_range", "_in", "_before")
     )
 
 

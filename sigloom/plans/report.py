@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.naming import natural_key, parse_run, run_info
+from sigloom.operators.classifiers import CLASSIFIER_NAMES
+from sigloom.operators.embedding import plot_table
+from sigloom.session import stored
+from sigloom.sources.results import read_confusion, read_entries, read_misclassified, read_points, read_results
 
 MISSING = "N/A"
+MAX_PLOT_CLASSES = 10
 
 
 def with_run(results: DataFrame) -> DataFrame:
@@ -114,3 +119,43 @@ def summary(results: DataFrame, class_counts: DataFrame, top_n: int) -> DataFram
         (F.col("accuracy") * 100).alias("best_accuracy"),
         run_info("k", "dist", "classifier").alias("run_info"),
     )
+
+
+def class_sizes(entries: DataFrame) -> DataFrame:
+    """Classes of every experiment and their sizes: ``(base, group, n)``.
+
+    Runs of an experiment differ in k only and share their samples, so the first run counts.
+    """
+    runs = with_run(entries.groupBy("run", "group").agg(F.count(F.lit(1)).alias("n")))
+    first = runs.groupBy("base").agg(F.min_by("run", F.struct("k", "run")).alias("run"))
+    return runs.join(first, ["base", "run"], "left_semi").select("base", "group", "n")
+
+
+def summarize(
+    spark: SparkSession,
+    job_dir: str,
+    top_n: int = 1,
+    known: Iterable[str] = CLASSIFIER_NAMES,
+    nested: bool = False,
+    plots: bool = False,
+    max_classes: int = MAX_PLOT_CLASSES,
+) -> dict[str, DataFrame]:
+    """Everything a job folder tells: the tables of ``experiment_report``, the ``summary`` over all experiments and, with ``plots``, ``plot``.
+
+    Sizes come from the runs' ``metadata.json``, results from all their ``classification-*`` files. ``plot`` ties the best run of every
+    experiment of at most ``max_classes`` classes to its points, classes and misses: ``(base, sample_id, coords, group, label,
+    misclassified)``; an experiment whose best run has no points for its distance has no plot. ``nested`` reads files of one JSON object each.
+    """
+    results = stored(read_results(spark, job_dir, nested), "results")  # many small files, read once for all tables
+    entries = read_entries(spark, job_dir, nested)
+    sizes = stored(class_sizes(entries), "class-sizes")
+    made = experiment_report(results, read_confusion(spark, job_dir, nested), sizes, top_n, known)
+    counts = sizes.groupBy("base").agg(F.count(F.lit(1)).alias("n_classes"))
+    made["summary"] = summary(results, counts, top_n)
+    if plots:
+        few = counts.where(F.col("n_classes") <= max_classes).select("base")
+        best = made["best"].join(few, "base", "left_semi").select("base", "run", "dist", "classifier")
+        points = read_points(spark, job_dir, nested).join(best.select("base", "run", "dist"), ["run", "dist"])
+        missed = read_misclassified(spark, job_dir, nested).where(F.col("n") == top_n).join(best, ["run", "dist", "classifier"])
+        made["plot"] = plot_table(points, entries.join(best.select("base", "run"), "run"), missed, by=["base"])
+    return made

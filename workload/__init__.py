@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = (
     "sequence_queries", "selection_queries", "distance_queries", "evaluation_queries", "learning_queries",
-    "model_queries", "report_queries",
+    "model_queries", "report_queries", "job_queries",
 )
 
 

@@ -131,6 +131,15 @@ def numbered_samples(spark, sf_dir):
     return sel.number_samples(picked).select("id", "group", "sample_no", "filename")
 
 
+@REGISTRY.query(f"""WITH {META} SELECT id, g AS "group", entry_no, row_number() OVER (ORDER BY g, entry_no) AS sample_no
+  FROM (SELECT id, subtype, (id * 2654435761 + 12345) % 1000000007 * 4000037 AS entry_no FROM meta) JOIN grps ON g = subtype""")
+def numbered_scattered_samples(spark, sf_dir):
+    """Numbers of entries whose own numbers are scattered over a wide range, as hashes are."""
+    entries = metadata(spark, sf_dir).withColumn("entry_no", (F.col("id") * 2654435761 + 12345) % 1000000007 * 4000037)
+    picked = sel.pick_group(entries, _groups(spark, sf_dir), "subtype")
+    return sel.number_samples(picked).select("id", "group", "entry_no", "sample_no")
+
+
 @REGISTRY.query(f"""WITH {META} SELECT m.id, m.subtype AS "group", s.n FROM meta m
   JOIN (SELECT subtype, count(*) AS n FROM meta GROUP BY subtype) s USING (subtype)""")
 def entries_with_group_options(spark, sf_dir):
