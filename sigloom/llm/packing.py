@@ -27,23 +27,32 @@ GROUP_PIECES = 4096
 SEED = 23
 _CHUNK = 1 << 20
 _KEPT_WORDS = 800_000
-#: a word that ends in a letter and then punctuation other than an apostrophe
-_ENDING = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
+_BATCH = 1000
+#: a word that ends in a letter (a-z or U+00C0 to U+00FF) and then ASCII punctuation other than an apostrophe
+_ENDING = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 
 
 def plain_lowered(data: np.ndarray) -> bytes:
-    """Bytes with the words of pure ASCII made lower case, as the tokenizer would; all others, and spellings of special tokens, stay for it.
+    """Bytes with the words of ASCII and the letters U+00C0 to U+00FF made lower case, as the tokenizer would.
 
-    It composes letters before it lowers them, so a capital in front of a combining mark must reach it as it is.
+    All other words, and spellings of special tokens, stay for it: it composes letters before it lowers them, so a capital in
+    front of a combining mark must reach it as it is.
     """
-    odd = data >= 128
+    low = lowered(data)
+    if not len(data):
+        return b""
+    wide = np.zeros(len(data), bool)  # second bytes of U+00C0 to U+00FF
+    wide[1:] = data[:-1] == 0xC3
+    capital = wide & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    low[capital] |= 0x20
+    odd = (data >= 128) & ~wide & (data != 0xC3)
     odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
     if not odd.any():
-        return lowered(data).tobytes()
+        return low.tobytes()
     word = np.cumsum(is_space(data), dtype=np.int32)
     skip = np.zeros(int(word[-1]) + 1, bool)
     skip[word[odd]] = True
-    return np.where(skip[word], data, lowered(data)).tobytes()
+    return np.where(skip[word], data, low).tobytes()
 
 
 class _Numbers(dict):
@@ -57,8 +66,9 @@ class _Numbers(dict):
 class Encoder:
     """Token ids of texts, word by word.
 
-    The vocabulary's tokens never cross white space, so a word's ids do not depend on its neighbours and frequent
-    words are encoded once per worker; at most ``_KEPT_WORDS`` stay cached.
+    The vocabulary's tokens never cross white space, so a word's ids do not depend on its neighbours. Neither do they cross from a
+    letter to the punctuation behind it: a word has one or two parts, and every part is encoded once per worker. Parts are
+    encoded many at a time, with a digit of its own between them. The cache is emptied when it holds ``_KEPT_WORDS`` words.
     """
 
     def __init__(self, path: str):
@@ -66,40 +76,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.numbers = _Numbers()
-        self.stems: dict[bytes, list[int]] = {}
-        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def chunk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a list of words in a row, and the number of ids of every word."""
-        known = len(self.numbers)
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > known:
-            made = self._encoded(list(itertools.islice(self.numbers, known, None)))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32)])
-            self.lengths = np.concatenate([self.lengths, np.array([len(x) for x in made], np.int64)])
-        starts = np.cumsum(self.lengths) - self.lengths
-        counts = self.lengths[at]
+        (self.border,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words, self.parts = _Numbers(), _Numbers()
+        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def chunk(self, data: bytes, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of all texts in ``data`` in a row, and the number of ids of every text; ``borders`` are the texts' n + 1 offsets."""
+        if len(self.words) > _KEPT_WORDS:
+            self._empty()
+        inside = ~is_space(np.frombuffer(data, np.uint8))
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        own = borders[:-1][borders[:-1] < len(data)]
+        begin[own] = inside[own]
+        starts = np.flatnonzero(begin)
+        spans = np.append(starts, len(data)).astype(np.int32)  # every word with the white space behind it
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(data)]).dictionary_encode()
+        known = len(self.words)
+        distinct = [word.rstrip() for word in column.dictionary.to_pylist()]
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        if len(self.words) > known:
+            self._learn(list(itertools.islice(self.words, known, None)))
+        at = number[column.indices.to_numpy()]
+        two = np.stack((self.first[at], self.second[at]), 1)
+        part = two.ravel()
+        counts = np.where(part >= 0, self.lengths[part], 0)
         first = np.cumsum(counts) - counts
-        out = self.ids[np.repeat(starts[at] - first, counts) + np.arange(counts.sum())]
-        if len(self.numbers) > _KEPT_WORDS:
-            kept = _KEPT_WORDS
-            for word in list(itertools.islice(self.numbers, kept, None)):
-                del self.numbers[word]
-            self.lengths = self.lengths[:kept]
-            self.ids = self.ids[: int(self.lengths.sum())]
-        return out, counts
-
-    def _encoded(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of every word. Punctuation behind a last letter is a part of its own, so stems are encoded once for all endings."""
-        parts = [m.groups() if (m := _ENDING.match(w)) and b"<|" not in w else (w,) for w in words]
-        single = list(dict.fromkeys(p for own in parts for p in own if p not in self.stems))
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in single], add_special_tokens=False)
-        fresh = dict(zip(single, (e.ids for e in found)))
-        out = [[i for p in own for i in (fresh.get(p) or self.stems.get(p) or ())] for own in parts]
-        if len(self.stems) < _KEPT_WORDS // 4:
-            self.stems.update((own[0], fresh[own[0]]) for own in parts if len(own) == 2 and own[0] in fresh)
-        return out
+        out = self.ids[np.repeat(self.starts[part] - first, counts) + np.arange(counts.sum())]
+        upto = np.append(first, len(out))
+        return out, np.diff(upto[2 * np.searchsorted(starts, borders)])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Take in new words: their parts, and the ids of parts not seen before."""
+        known, number = len(self.parts), self.parts.__getitem__
+        split = [m.groups() if (m := _ENDING.match(w)) and b"<|" not in w else (w, None) for w in words]
+        self.first = np.append(self.first, np.fromiter((number(stem) for stem, _ in split), np.int64, len(split)))
+        self.second = np.append(self.second, np.fromiter((-1 if end is None else number(end) for _, end in split), np.int64, len(split)))
+        fresh = list(itertools.islice(self.parts, known, None))
+        ids, lengths = self._encoded(fresh)
+        begin = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids, self.starts, self.lengths = np.append(self.ids, ids), np.append(self.starts, begin), np.append(self.lengths, lengths)
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and their numbers per part. A part with the digit between parts is encoded alone."""
+        lengths = np.zeros(len(parts), np.int64)
+        alone = [i for i, p in enumerate(parts) if b"0" in p or b"<|" in p]
+        apart = set(alone)
+        rest = [i for i in range(len(parts)) if i not in apart] if alone else list(range(len(parts)))
+        batches = [rest[i : i + _BATCH] for i in range(0, len(rest), _BATCH)]
+        texts = [b" 0 ".join([parts[i] for i in batch]).decode() + " 0" for batch in batches]
+        made = []
+        for batch, found in zip(batches, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            border = ids == self.border
+            ends = np.flatnonzero(border) - np.arange(len(batch))  # ids before every border, borders left out
+            lengths[batch] = np.diff(ends, prepend=0)
+            made.append(ids[~border])
+        for i, found in zip(alone, self.tokenizer.encode_batch_fast([parts[i].decode() for i in alone], add_special_tokens=False)):
+            made.append(np.array(found.ids, np.uint32))
+            lengths[i] = len(made[-1])
+        if not made:
+            return np.zeros(0, np.uint32), lengths
+        flat, order = np.concatenate(made), np.array(rest + alone, np.int64)
+        if not alone:
+            return flat, lengths
+        taken = lengths[order]
+        starts = np.empty(len(parts), np.int64)
+        starts[order] = np.cumsum(taken) - taken
+        before = np.cumsum(lengths) - lengths
+        return flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())], lengths
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text of a column, the end id last."""
@@ -112,12 +161,9 @@ class Encoder:
                 continue
             stop = max(row + 1, int(np.searchsorted(at, at[row] + _CHUNK, "right")) - 1)
             raw, own = plain_lowered(data[at[row] : at[stop]]), at[row : stop + 1] - at[row]
-            lists = [raw[a:b].split() for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
-            ids, counts = self.chunk([w for words in lists for w in words])
-            upto = np.concatenate(([0], np.cumsum(counts)))
-            ends = upto[np.cumsum([len(words) for words in lists])]
+            ids, counts = self.chunk(raw, own)
             begin = 0
-            for end in ends.tolist():
+            for end in np.cumsum(counts).tolist():
                 yield np.append(ids[begin:end], np.uint32(END_ID))
                 begin = end
             row = stop
@@ -132,7 +178,7 @@ class Encoder:
                     to = start + int(spaces[-1]) + 1
                     break
                 to = min(end, to + _CHUNK)
-            parts.append(self.chunk(plain_lowered(data[start:to]).split())[0])
+            parts.append(self.chunk(plain_lowered(data[start:to]), np.array([0, to - start]))[0])
             start = to
         return np.concatenate(parts)
 

@@ -452,6 +452,15 @@ def test_capitals_with_combining_marks():
     assert together == want and apart == want
 
 
+def test_parts_of_words_are_encoded_as_the_whole_text():
+    rng = random.Random(17)
+    alphabet = "aZxÀÿ×÷ßÉñªŸİ0019.,'!<|>-*\u0331\u0301”… \t\n" + "ab" * 6
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    whole = packing.Encoder(packing.default_tokenizer())
+    want = [[*whole.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert [ids.tolist() for ids in whole.texts(pa.array(texts))] == want
+
+
 def test_classifier_learns_where_every_row_is_labelled(spark):
     rng = random.Random(3)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)) for _ in range(300)]
