@@ -28,6 +28,7 @@ SEED = 23
 _CHUNK = 1 << 20
 _KEPT_WORDS = 800_000
 _BATCH = 1000
+_PUNCTUATION = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: a word that ends in a letter (a-z or U+00C0 to U+00FF) and then ASCII punctuation other than an apostrophe
 _ENDING = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 
@@ -55,20 +56,13 @@ def plain_lowered(data: np.ndarray) -> bytes:
     return np.where(skip[word], data, low).tobytes()
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Encoder:
     """Token ids of texts, word by word.
 
     The vocabulary's tokens never cross white space, so a word's ids do not depend on its neighbours. Neither do they cross from a
     letter to the punctuation behind it: a word has one or two parts, and every part is encoded once per worker. Parts are
-    encoded many at a time, with a digit of its own between them. The cache is emptied when it holds ``_KEPT_WORDS`` words.
+    encoded many at a time, with a digit of its own between them. When the cache holds more than ``_KEPT_WORDS`` words, those seen
+    in one chunk only are forgotten, and all if the others are more than half of them.
     """
 
     def __init__(self, path: str):
@@ -80,14 +74,33 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.words, self.parts = _Numbers(), _Numbers()
-        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.parts = {}, {}
+        self.first, self.second, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        often = self.seen > 1
+        if 2 * often.sum() > _KEPT_WORDS:
+            self._empty()
+            return
+        kept = list(itertools.compress(self.words, often.tolist()))
+        self.words = dict(zip(kept, range(len(kept))))
+        used = np.zeros(len(self.parts), bool)
+        first, second = self.first[often], self.second[often]
+        used[first] = used[second[second >= 0]] = True
+        number = np.cumsum(used) - 1
+        names = list(itertools.compress(self.parts, used.tolist()))
+        self.parts = dict(zip(names, range(len(names))))
+        self.first, self.second, self.seen = number[first], np.where(second >= 0, number[second], -1), np.ones(len(kept), np.int64)
+        starts, lengths = self.starts[used], self.lengths[used]
+        begin = np.cumsum(lengths) - lengths
+        self.ids = self.ids[np.repeat(starts - begin, lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths = begin, lengths
+
     def chunk(self, data: bytes, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of all texts in ``data`` in a row, and the number of ids of every text; ``borders`` are the texts' n + 1 offsets."""
         if len(self.words) > _KEPT_WORDS:
-            self._empty()
+            self._forget()
         inside = ~is_space(np.frombuffer(data, np.uint8))
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
@@ -96,11 +109,11 @@ class Encoder:
         starts = np.flatnonzero(begin)
         spans = np.append(starts, len(data)).astype(np.int32)  # every word with the white space behind it
         column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(data)]).dictionary_encode()
-        known = len(self.words)
-        distinct = [word.rstrip() for word in column.dictionary.to_pylist()]
-        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        words, known = self.words, len(self.words)
+        number = np.array([words.setdefault(w.rstrip(), len(words)) for w in column.dictionary.to_pylist()], np.int64)
         if len(self.words) > known:
             self._learn(list(itertools.islice(self.words, known, None)))
+        self.seen[number] += 1
         at = number[column.indices.to_numpy()]
         two = np.stack((self.first[at], self.second[at]), 1)
         part = two.ravel()
@@ -112,10 +125,17 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Take in new words: their parts, and the ids of parts not seen before."""
-        known, number = len(self.parts), self.parts.__getitem__
-        split = [m.groups() if (m := _ENDING.match(w)) and b"<|" not in w else (w, None) for w in words]
-        self.first = np.append(self.first, np.fromiter((number(stem) for stem, _ in split), np.int64, len(split)))
-        self.second = np.append(self.second, np.fromiter((-1 if end is None else number(end) for _, end in split), np.int64, len(split)))
+        parts, known, first, second = self.parts, len(self.parts), [], []
+        for word in words:
+            if word[-1] in _PUNCTUATION and (found := _ENDING.match(word)) and b"<|" not in word:
+                stem, end = found.groups()
+                first.append(parts.setdefault(stem, len(parts)))
+                second.append(parts.setdefault(end, len(parts)))
+            else:
+                first.append(parts.setdefault(word, len(parts)))
+                second.append(-1)
+        self.first, self.second = np.append(self.first, np.array(first, np.int64)), np.append(self.second, np.array(second, np.int64))
+        self.seen = np.append(self.seen, np.zeros(len(words), np.int64))
         fresh = list(itertools.islice(self.parts, known, None))
         ids, lengths = self._encoded(fresh)
         begin = len(self.ids) + np.cumsum(lengths) - lengths
