@@ -1,8 +1,8 @@
 """Array kernels shared by the operators: word hashes and rolling hashes over Arrow string columns.
 
-Every function sees one Arrow batch inside a task. Hashes are polynomial sums modulo 2^64 with
-an odd base over pseudo-random letter codes, finished by a 64-bit mixer; they depend on the
-bytes alone, so every task and every run computes the same values.
+Every function sees one Arrow batch inside a task. A word's hash mixes its bytes eight at a time, each eight with
+their place, and its length. A window's hash is a polynomial sum of word hashes modulo 2^64, finished by a 64-bit mixer. Both
+depend on the bytes alone, so every task and every run computes the same values.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+#: masks of the first 0 to 8 bytes of a little-endian number
+_FIRST = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -155,10 +156,25 @@ def _scan(data, row_bytes, lower, hashes):
 
 
 def range_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of every range of one chunk."""
-    sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_CODES[part] * cached_powers(_BASE, len(part)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * cached_powers(_BASE, len(part) + 1, True)[starts])
+    """Hash of the bytes of every range of one chunk.
+
+    A polynomial over the bytes would not do: modulo 2^64, alternating words of a thousand letters can agree under every base.
+    """
+    padded = np.zeros(len(part) + 8, np.uint8)
+    padded[: len(part)] = part
+    eight = np.ndarray(len(part) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every position on
+    sizes = ends - starts
+    found = mix((eight[starts] & _FIRST[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _PLACE))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(more.sum()) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        left = np.repeat(ends[long], more) - at
+        terms = mix((eight[at] & _FIRST[np.minimum(left, 8)]) ^ mix(place.astype(np.uint64) * _PLACE))
+        found[long] = mix(found[long] + np.add.reduceat(terms, first))
+    return found
 
 
 def rolling(values: np.ndarray, width: int, base: int = _STEP) -> np.ndarray:

@@ -452,6 +452,24 @@ def test_capitals_with_combining_marks():
     assert together == want and apart == want
 
 
+def test_long_alternating_words_have_hashes_of_their_own(spark):
+    """Words of Thue-Morse letters, and words that differ in one byte or in the order of their parts."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    swap = str.maketrans("ab", "ba")
+    many = [w[:n] for w in (morse, morse.translate(swap)) for n in (1, 7, 8, 9, 16, 17, 64, 512, 1024, 2048, 4096)]
+    many += ["x" * n for n in range(1, 40)] + ["x" * 24 + "y" * 8, "y" * 8 + "x" * 24, "x" * 8 + "y" * 8 + "x" * 16, "a\x00", "\x00", "\x00\x00"]
+    many = list(dict.fromkeys(many))
+    found = textops.Words(pa.array(many)).hashes
+    assert len(set(found.tolist())) == len(many)
+    docs = spark.createDataFrame([(1, morse[:1024]), (2, morse[:1024].translate(swap)), (3, morse[:1024])], "doc_id bigint, text string")
+    joined = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, JOIN).collect()}
+    assert joined == {1: 1, 2: 2, 3: 1}
+    lined = " ".join([morse[:1024]] * 30 + [morse[:1024].translate(swap)] * 30)
+    repeated = spark.createDataFrame([(1, lined), (2, " ".join([morse[:1024].translate(swap)] * 30 + [morse[:1024]] * 30))], "doc_id bigint, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(repeated).collect()}
+    assert removed == {1: 0, 2: 0}
+
+
 def test_parts_of_words_are_encoded_as_the_whole_text():
     rng = random.Random(17)
     alphabet = "aZxÀÿ×÷ßÉñªŸİ0019.,'!<|>-*\u0331\u0301”… \t\n" + "ab" * 6
