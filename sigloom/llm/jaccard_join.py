@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, keep_rows, narrow, stored
 from sigloom.llm.components import components
-from sigloom.llm.sketch import Sketch, count_bits
+from sigloom.llm.sketch import Sketch, bit_table
 from sigloom.llm.textops import Words, mix, rolling, small
 from sigloom.operators.skew import salted_join
 
@@ -137,9 +137,7 @@ def candidate_sets(texts: DataFrame, settings: Settings) -> DataFrame:
 
     A set can only be linked with another text's if the threshold's share of it is estimated to occur in two documents.
     """
-    seen = texts.sparkSession.sparkContext.broadcast(
-        count_bits(texts.select("text"), lambda batch: shingles(batch.column("text"), settings.width)[0], settings.corpus, 2)
-    )
+    seen = bit_table(texts.select("text"), lambda batch: shingles(batch.column("text"), settings.width)[0], settings.corpus, 2)
 
     def run(batches):
         for batch in small(batches):
@@ -156,9 +154,7 @@ def candidate_sets(texts: DataFrame, settings: Settings) -> DataFrame:
             )
 
     schema = "doc_id bigint, row bigint, n bigint, loose bigint, sig binary, tokens binary"
-    sets = stored(texts.mapInArrow(run, schema), "shingle-sets")
-    seen.destroy()
-    return sets
+    return stored(texts.mapInArrow(run, schema), "shingle-sets")
 
 
 def prefixes(sets: DataFrame, settings: Settings, shared_bits, late_bits) -> DataFrame:
@@ -218,15 +214,12 @@ def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
     First every set is compared with the most central set among those it shares most buckets with. Only pairs whose components
     still differ are then compared one by one, so a large group of similar sets never gives all its pairs.
     """
-    spark = sets.sparkSession
-    bits = count_bits(
+    bits = bit_table(
         sets.select("tokens"), lambda batch: np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64),
         settings.candidates, 2, settings.frequent, column="tokens",
     )
-    shared_bits, late_bits = spark.sparkContext.broadcast(bits[0]), spark.sparkContext.broadcast(bits[1])
-    del bits
+    shared_bits, late_bits = bits.level(0), bits.level(1)
     entries = stored(prefixes(sets, settings, shared_bits, late_bits), "prefixes")
-    shared_bits.destroy()
     t = settings.percent / 100
     central = F.struct((F.col("loose") / F.col("n")).alias("share"), "sig", "n")
     buckets = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(central).alias("rep")).where("size > 1")
@@ -251,7 +244,6 @@ def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
     )
     pairs = x.join(y, fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("probe")).distinct()
     second = stored(confirmed(stored(pairs, "second-pairs"), sets, settings, late_bits), "second-links")
-    late_bits.destroy()
     return first.unionByName(second)
 
 

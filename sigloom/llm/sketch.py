@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from sigloom.llm.common import scratch
 from sigloom.llm.textops import mix, small
 
 
@@ -17,7 +20,7 @@ from sigloom.llm.textops import mix, small
 class Sketch:
     """Shape of a sketch: ``rows`` hash rows of 2^``bits`` cells, handled in blocks of 2^16.
 
-    Its size is fixed, so the merged bit table (2^bits * rows / 8 bytes) may be sent to every worker. More keys than it can tell
+    Its size is fixed, so every worker may read the merged bit table (2^bits * rows / 8 bytes). More keys than it can tell
     apart only mean more keys estimated too high, never one estimated too low.
     """
 
@@ -94,19 +97,72 @@ def _merged_block(parts: pd.DataFrame, levels: tuple[int, ...], cap: int) -> pd.
     return pd.DataFrame({"block": [parts["block"].iloc[0]], "bits": [packed]})
 
 
-def count_bits(
+@dataclass(frozen=True)
+class BitTable:
+    """Merged sketch in the shared folder: blocks of bits that tasks wrote, which a worker reads when it first needs them.
+
+    Neither the driver nor a broadcast holds the bits; a lost executor's tasks read them again elsewhere.
+    """
+
+    path: str
+    sketch: Sketch
+    levels: int
+    chosen: int = 0
+
+    def level(self, number: int) -> BitTable:
+        return replace(self, chosen=number)
+
+    @property
+    def value(self) -> np.ndarray:
+        """Bits of the chosen level, rows x bytes."""
+        return self.all()[self.chosen]
+
+    def all(self) -> np.ndarray:
+        if self.path not in _TABLES:
+            while len(_TABLES) >= _HELD_TABLES:
+                del _TABLES[next(iter(_TABLES))]
+            _TABLES[self.path] = self._read()
+        return _TABLES[self.path]
+
+    def _read(self) -> np.ndarray:
+        size = (1 << BLOCK_BITS) // 8
+        out = np.zeros((self.levels, self.sketch.rows << (self.sketch.bits - BLOCK_BITS), size), np.uint8)
+        if self.path.startswith("file:") or "://" not in self.path:
+            store, folder = fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+        else:
+            store, folder = fs.FileSystem.from_uri(self.path.replace("s3a://", "s3://", 1))
+        for file in store.get_file_info(fs.FileSelector(folder)):
+            if file.base_name.endswith(".parquet"):
+                with store.open_input_file(file.path) as raw:
+                    for batch in pq.ParquetFile(raw).iter_batches(256):
+                        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                            out[:, block] = np.frombuffer(bits, np.uint8).reshape(self.levels, size)
+        return out.reshape(self.levels, self.sketch.rows, -1)
+
+
+#: tables a worker has read, the latest few
+_TABLES: dict[str, np.ndarray] = {}
+_HELD_TABLES = 3
+
+
+def bit_table(
     rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], sketch: Sketch, *levels: int, column: str = "text"
-) -> np.ndarray:
-    """Merged sketch of all keys as bits, (levels x) rows x bytes: estimated count of at least a level.
+) -> BitTable:
+    """Merged sketch of all keys as bits, per level: estimated count of at least that level.
 
-    Parts meet by block, whose size is fixed, and only bit tables of the sketch's fixed size reach the driver.
+    Parts meet by block, whose size is fixed; tasks write the blocks to the shared folder.
     """
     cap = max(levels)
     parts = rows.mapInArrow(partition_sketch(keys_of, sketch, cap, column), "block bigint, cells binary")
     merged = parts.groupBy("block").applyInPandas(lambda pdf: _merged_block(pdf, levels, cap), "block bigint, bits binary")
-    size = (1 << BLOCK_BITS) // 8
-    out = np.zeros((len(levels), sketch.rows << (sketch.bits - BLOCK_BITS), size), np.uint8)
-    for row in merged.toLocalIterator():
-        out[:, row["block"]] = np.frombuffer(row["bits"], np.uint8).reshape(len(levels), size)
-    out = out.reshape(len(levels), sketch.rows, -1)
+    path = scratch(rows.sparkSession, "sketch")
+    merged.write.parquet(path)
+    return BitTable(path, sketch, len(levels))
+
+
+def count_bits(
+    rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], sketch: Sketch, *levels: int, column: str = "text"
+) -> np.ndarray:
+    """The bits of a ``bit_table`` here, (levels x) rows x bytes."""
+    out = bit_table(rows, keys_of, sketch, *levels, column=column).all()
     return out[0] if len(levels) == 1 else out

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, narrow, stored
-from sigloom.llm.sketch import Sketch, count_bits
+from sigloom.llm.sketch import Sketch, bit_table
 from sigloom.llm.textops import Words, covered, ids_of, mix, rolling, signed, sliding_min, small
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -53,9 +53,7 @@ def removed_windows(texts: DataFrame, width: int, sketch: Sketch) -> DataFrame:
     Windows estimated repeated are grouped by a 128-bit digest of their words. The grouping combines inside every task
     before it shuffles; the join back splits hot digests.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(
-        count_bits(texts.select("text"), lambda batch: document_keys(batch, width), sketch, 2)
-    )
+    shared = bit_table(texts.select("text"), lambda batch: document_keys(batch, width), sketch, 2)
 
     def candidates(batches):
         for batch in small(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Query, documents, narrow, stored
-from sigloom.llm.sketch import Sketch, count_bits
+from sigloom.llm.sketch import Sketch, bit_table
 from sigloom.llm.textops import buffers, cached_powers, covered, ids_of, mix, signed, sliding_min, small
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -335,16 +335,13 @@ def tied_strings(texts: DataFrame, s: Settings) -> DataFrame:
 
 def repeated_ranges(texts: DataFrame, s: Settings) -> DataFrame:
     """Byte ranges of every row covered by repeated strings: id, row, start, length (ranges may overlap)."""
-    spark = texts.sparkSession
-    bits = spark.sparkContext.broadcast(count_bits(texts.select("text"), lambda batch: _gram_keys(batch, s), s.sketch, 2))
+    bits = bit_table(texts.select("text"), lambda batch: _gram_keys(batch, s), s.sketch, 2)
     seen = stored(occurrences(texts, s, bits), "minimizers")
     kinds = stored(
         seen.groupBy("gram", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("after").alias("after")), "surroundings"
     )
     grams = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "parts")
-    wanted = spark.sparkContext.broadcast(
-        count_bits(grams.select(F.col("gram").cast("string").alias("text"), "gram"), lambda batch: batch.column("gram").to_numpy().view(np.uint64), s.sketch, 1)
-    )
+    wanted = bit_table(grams.select(F.col("gram").cast("string").alias("text"), "gram"), lambda batch: batch.column("gram").to_numpy().view(np.uint64), s.sketch, 1)
     parts = stored(surroundings(texts, s, bits, wanted), "suffixes")
     crowded = stored(grams.where(F.col("kinds") > s.part).select("gram"), "crowded")
     sorted_ = part_reach(parts.join(crowded, "gram", "left_anti"), s)
