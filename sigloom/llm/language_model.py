@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 from urllib.parse import urlparse
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from sigloom.llm.textops import Words, mix, small
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _HELD = 2_000_000
 _ESCAPE = 255
+_MOST_WORDS = 2**32 - 1
 
 
 def local_path(uri: str) -> str:
@@ -35,8 +37,11 @@ def local_path(uri: str) -> str:
 
 
 def save(path: str, array: np.ndarray) -> None:
-    """Write an array under its final name in one step: a repeated task replaces it by the same bytes."""
-    part = f"{path}.{os.getpid()}.part.npy"
+    """Write an array under its final name in one step: a repeated task replaces it by the same bytes.
+
+    Attempts of one task on several hosts may run at once, so each writes a file of its own name first.
+    """
+    part = f"{path}.{uuid4().hex}.part.npy"
     np.save(part, array)
     os.replace(part, path)
 
@@ -45,6 +50,18 @@ def load(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
+def narrowest(values: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit, in 64 otherwise."""
+    return values.astype(np.uint32 if values.max(initial=0) <= np.iinfo(np.uint32).max else np.uint64)
+
+
+def unpacked(raw: bytes, rows: int) -> np.ndarray:
+    """Counts written by ``narrowest`` for ``rows`` words, four to a word or one; the number of bytes tells their size."""
+    per_row = len(raw) // rows
+    size, columns = {4: (4, 1), 8: (8, 1), 16: (4, 4), 32: (8, 4)}[per_row]
+    return np.frombuffer(raw, f"<u{size}").reshape(rows, columns).astype(np.int64)
+
+
 def spread(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Shard of a 64-bit hash by its upper half: shards are ranges in the order of the hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -239,6 +256,8 @@ def _unigrams(train: DataFrame, folder: str, shards: int) -> Model:
 def _pairs(train: DataFrame, model: Model) -> None:
     """Count pairs, write them by shard, then the statistics of every word; sets the model's discounts."""
     shards, folder = model.shards, model.folder
+    if model.n_words >= _MOST_WORDS:
+        raise ValueError(f"{model.n_words} distinct words: a pair key holds two numbers below {_MOST_WORDS}")
     model.span = max(1, -(-(model.n_words + 1) // shards))
     model.ranges = -(-(model.n_words + 1) // model.span)
     shared = train.sparkSession.sparkContext.broadcast(model)
@@ -261,7 +280,7 @@ def _pairs(train: DataFrame, model: Model) -> None:
         where = numbers // model.span
         cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(where)]))
         return [
-            (kind, int(where[a]), numbers[a:b].astype(np.uint32).tobytes(), values[a:b].astype(np.uint32).tobytes())
+            (kind, int(where[a]), numbers[a:b].astype(np.uint32).tobytes(), narrowest(values[a:b]).tobytes())
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()) if b > a
         ]
 
@@ -287,11 +306,9 @@ def _pairs(train: DataFrame, model: Model) -> None:
         out = np.zeros((min(model.span, model.n_words + 1 - part * model.span), 5), np.int64)
         for kind, numbers, values in zip(parts["kind"], parts["numbers"], parts["values"]):
             at = np.frombuffer(numbers, np.uint32).astype(np.int64) - part * model.span
-            if kind == 0:
-                out[at, 0] += np.frombuffer(values, np.uint32)
-            else:
-                out[at, 1:] += np.frombuffer(values, np.uint32).reshape(-1, 4)
-        save(f"{folder}/statistics-{part}.npy", out.astype(np.uint32))
+            columns = slice(0, 1) if kind == 0 else slice(1, 5)
+            out[at, columns] += unpacked(values, len(at))
+        save(f"{folder}/statistics-{part}.npy", narrowest(out))
         more = [int((out[:, 0] == k).sum()) for k in (1, 2, 3, 4)] + [int((out[:, 0] > 2).sum())]
         return pd.DataFrame({"part": [part], **{f"c{i + 1}": [n] for i, n in enumerate(more)}})
 
