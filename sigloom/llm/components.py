@@ -9,15 +9,16 @@ from sigloom.llm.common import stored
 from sigloom.operators.skew import salted_join
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``comp``, the smallest node it reaches, for every node of ``links`` (a, b).
 
     Each step points a node's neighbours at the smallest of them. Minima combine inside tasks before they shuffle and return through a
-    salted join, so a node with very many links is no bottleneck; every step is a table in the shared folder.
+    salted join, so a node with very many links is no bottleneck; every step is a table in the shared folder. Steps go on until the links
+    stay as they are.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         # large star: larger neighbours point at the smallest of node and neighbours
@@ -33,4 +34,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
