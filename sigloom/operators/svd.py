@@ -163,7 +163,7 @@ def turned(pieces: DataFrame, right: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [(np.frombuffer(c.as_buffer()).reshape(SIDE, rows) @ right).tobytes() for c in batch.column("cells")]
+            cells = [(np.frombuffer(c.as_buffer()).reshape(-1, rows) @ right).tobytes() for c in batch.column("cells")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, pa.binary())], ["key", "cells"])
 
     return pieces.mapInArrow(run, _PIECE)

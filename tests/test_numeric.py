@@ -107,6 +107,46 @@ def test_opposite_eigenvalues_are_told_apart(spark):
     assert np.allclose(matrix @ u, u * values, atol=1e-7)
 
 
+def test_mds_over_several_blocks(spark, monkeypatch):
+    """Pieces of 16 rows, the last block part filled; a product with chunks meets its pieces without a broadcast."""
+    from sigloom.operators import eigen
+
+    monkeypatch.setattr(eigen, "SIDE", 16)
+    monkeypatch.setattr(eigen, "BROADCAST_BYTES", 0)
+    points = np.random.default_rng(5).normal(size=(75, 6)) * [9, 7, 5, 3, 2, 1]
+    matrix, d = full_matrix(spark, points)
+    found = embedding.mds(matrix, ids(spark, 75), 8).orderBy("sample_id").collect()
+    coords = np.array([r["coords"] for r in found])
+    assert coords.shape == (75, 6)
+    assert np.allclose(np.sqrt(((coords[:, None] - coords[None]) ** 2).sum(-1)), d, atol=1e-6)
+
+
+def test_flat_spectrum_needs_several_cycles(spark, monkeypatch):
+    from sigloom.operators import eigen
+
+    monkeypatch.setattr(eigen, "SPARE", 8)
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(60, 60))
+    matrix = matrix + matrix.T
+    pairs = spark.createDataFrame([(a, b, float(matrix[a, b])) for a in range(60) for b in range(60)], "a long, b long, d double")
+    values = np.linalg.eigvalsh(matrix)
+    top = values[np.argsort(-np.abs(values))][:4]
+    found, vectors = eigen.leading_pairs(eigen.PairMatrix(pairs, pairs["d"], ids(spark, 60), centered=False), 4, tolerance=1e-5)
+    u = np.array([r["u"] for r in vectors.orderBy("sample_id").collect()])
+    assert np.allclose(sorted(found), sorted(top), atol=1e-8 * abs(top[0]))
+    assert np.allclose(matrix @ u, u * found, atol=1e-5 * abs(top[0]))
+    with pytest.warns(UserWarning, match="residual"):
+        eigen.leading_pairs(eigen.PairMatrix(pairs, pairs["d"], ids(spark, 60), centered=False), 4, cycles=1)
+
+
+def test_mds_of_none_one_and_equal_samples(spark):
+    empty = spark.createDataFrame([], "a long, b long, d double")
+    assert embedding.mds(empty, ids(spark, 0), 3).collect() == []
+    assert embedding.mds(spark.createDataFrame([(0, 0, 0.0)], "a long, b long, d double"), ids(spark, 1), 3).collect()[0]["coords"] == []
+    same = spark.createDataFrame([(a, b, 0.0) for a in range(3) for b in range(3)], "a long, b long, d double")
+    assert [r["coords"] for r in embedding.mds(same, ids(spark, 3), 2).collect()] == [[], [], []]
+
+
 def test_constant_axis_scales_to_zero(spark):
     df = spark.createDataFrame([(0, [1.0, 5.0]), (1, [3.0, 5.0])], "sample_id long, coords array<double>")
     got = [r["coords"] for r in embedding.scale_points(df).orderBy("sample_id").collect()]

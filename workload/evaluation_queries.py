@@ -8,7 +8,8 @@ from sigloom.functions import naming
 from sigloom.operators import distances as D
 from sigloom.operators import embedding as E
 from sigloom.operators import folds, ranking
-from workload.base import POINTS, Registry, points, samples, table
+from sigloom.operators.kmers import kmer_counts
+from workload.base import POINTS, Registry, counts_sql, points, samples, sequences, table
 
 REGISTRY = Registry()
 
@@ -211,6 +212,30 @@ def mds_of_a_line(spark, sf_dir):
     return found.select("sample_id", F.size("coords").alias("axes"), F.round(F.abs(F.col("coords")[0]), 4).alias("x"))
 
 
+@REGISTRY.query(f"""WITH {counts_sql(3)}, sets AS (SELECT kmer, count(*) AS c FROM counts GROUP BY kmer),
+  ids AS (SELECT doc_id AS sample_id FROM documents), total AS (SELECT count(*) AS docs FROM ids),
+  spread AS (SELECT i.sample_id, (SELECT sum(c) FROM sets) + coalesce(sum(docs - 2 * s.c), 0) AS apart
+    FROM ids i CROSS JOIN total LEFT JOIN counts USING (sample_id) LEFT JOIN sets s USING (kmer) GROUP BY i.sample_id),
+  steps AS (SELECT sample_id, sum(CASE WHEN times = 1 THEN 1 ELSE 0 END) AS d FROM (
+    SELECT sample_id, kmer, count(*) AS times FROM (SELECT sample_id, kmer FROM counts WHERE sample_id + 1 IN (SELECT sample_id FROM ids)
+      UNION ALL SELECT sample_id - 1, kmer FROM counts WHERE sample_id - 1 IN (SELECT sample_id FROM ids)) GROUP BY ALL) GROUP BY sample_id)
+  SELECT sample_id, round(apart / docs - (SELECT sum(apart) FROM spread) / (2.0 * docs * docs), 4) AS square,
+    CASE WHEN sample_id + 1 IN (SELECT sample_id FROM ids) THEN round(coalesce(d, 0)::DOUBLE, 4) END AS step
+  FROM spread CROSS JOIN total LEFT JOIN steps USING (sample_id)""")
+def mds_of_kmer_sets(spark, sf_dir):
+    """Roots of the sizes by which 3-mer sets differ are Euclidean: 64 axes give back every distance to the centre and to the next document."""
+    docs = samples(spark, sf_dir)
+    counts = kmer_counts(sequences(spark, sf_dir), [3])
+    sizes = D.set_sizes(counts, docs, width=4**3)
+    pairs = sizes.select("a", "b", F.sqrt(F.col("n_either") - F.col("n_common")).alias("d"))
+    found = E.mds(D.symmetrize(pairs, docs), docs, 64)
+    square = F.aggregate("coords", F.lit(0.0), lambda s, x: s + x * x)
+    after = found.select((F.col("sample_id") - 1).alias("sample_id"), F.col("coords").alias("other"))
+    step = F.aggregate(F.zip_with("coords", "other", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    # adding zero turns -0.0 into 0.0
+    return found.join(after, "sample_id", "left").select("sample_id", (F.round(square, 4) + 0.0).alias("square"), (F.round(step, 4) + 0.0).alias("step"))
+
+
 @REGISTRY.query()
 def mds_points(spark, sf_dir):
     rows = points(spark, sf_dir).select("sample_id")
