@@ -157,3 +157,29 @@ def test_names(spark):
     assert df.select(naming.dist_name(F.lit(path)).alias("d")).first()["d"] == "manhat"
     assert df.select(naming.percent_label(F.lit("A1"), F.lit(0.973)).alias("d")).first()["d"] == "A1 (97.3%)"
     assert df.select(S.ordinal_name(F.lit(12345678901)).alias("d")).first()["d"] == "12345678901.fasta"
+
+
+def test_long_kmers_are_counted_as_numbers(spark):
+    from sigloom.operators.kmers import kmer_totals
+
+    texts = ["T" * 33, "A" * 32, "G" + "A" * 31, "ACGT" * 8, "ACGT" * 8, "ACG", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "sample_id long, seq string")
+    got = kmer_totals(rows, 32)
+    assert {r.kmer: r.n for r in got.collect()} == {"T" * 32: 2, "A" * 32: 1, "G" + "A" * 31: 1, "ACGT" * 8: 2}
+    assert "hashpartitioning(code" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.kmer: r.n for r in kmer_totals(rows, 3).where("n > 30").collect()} == {"TTT": 31, "AAA": 30 + 29}
+
+
+def test_codes_of_long_texts_are_cut_without_a_loss(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from sigloom.operators import kmers
+
+    dice = random.Random(3)
+    texts = ["".join(dice.choices("ACGT", k=n)) for n in (0, 5, 40, 7, 13)]
+    monkeypatch.setattr(kmers, "_LETTERS_AT_ONCE", 9)
+    for k in (1, 3, 5, 6):
+        got = [int(c) for part in kmers._codes(pa.array(texts), k) for c in part]
+        assert got == [int("".join(str("ACGT".index(x)) for x in t[i : i + k]), 4) for t in texts for i in range(len(t) - k + 1)]

@@ -86,8 +86,7 @@ def kmer_counts_several_k(spark, sf_dir):
   SELECT unnest(list_transform(generate_series(1, length(seq) - 31), lambda i: substr(seq, i, 32))) AS kmer
   FROM seqs WHERE length(seq) >= 32) GROUP BY kmer""")
 def kmers_k32(spark, sf_dir):
-    rows = K.kmers(sequences(spark, sf_dir), 32, as_text=False)
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).select(F.col("kmer").cast("string").alias("kmer"), "n")
+    return K.kmer_totals(sequences(spark, sf_dir), 32)
 
 
 @REGISTRY.query(f"""WITH {counts_sql(3)} SELECT sample_id, k, kmer,
