@@ -109,12 +109,12 @@ def base_failed(counts) -> np.ndarray:
     return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
 
 
-def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """All labelled documents: doc_id, quality, text. Each label counts once."""
+def labelled(counted: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of labelled documents with their quality. Each label counts once."""
     known = marks.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max("quality").cast("int").alias("quality")
     )
-    return narrow(docs).drop("row").join(known, "doc_id")
+    return counted.join(known, "doc_id")
 
 
 def statistics(batches):
@@ -127,10 +127,13 @@ def statistics(batches):
 
 
 def fit(docs: DataFrame, marks: DataFrame, settings: Settings = Settings()) -> Model:
-    """Grow the forest and calibrate its threshold on all labelled rows, whose statistics are counted once and stored."""
-    schema = "doc_id bigint, quality int, " + ", ".join(f"{name} bigint" for name in textstats.COUNTS)
-    known = labelled(docs, marks).select("doc_id", "quality", "text")
-    rows = stored(known.mapInArrow(statistics, schema), "quality-statistics")
+    """Grow the forest and calibrate its threshold on all labelled rows, whose statistics are counted once and stored.
+
+    Texts are counted where they are read: only their statistics meet the labels.
+    """
+    schema = "doc_id bigint, " + ", ".join(f"{name} bigint" for name in textstats.COUNTS)
+    counted = narrow(docs).select("doc_id", "text").mapInArrow(statistics, schema)
+    rows = stored(labelled(counted, marks).select("doc_id", "quality", *textstats.COUNTS), "quality-statistics")
     n = rows.count()
     if not n:
         return Model(None, 1.0)

@@ -37,3 +37,15 @@ def test_few_rows_are_shared_by_all_trees(spark):
     model = Q.fit(docs, marks)
     assert len(model.forest.trees) == 200 and model.forest.size == 106
     assert 0 < model.threshold <= 1
+
+
+def test_only_statistics_meet_the_labels(spark, monkeypatch):
+    docs, marks = labelled_docs(spark, 50, 6)
+    plans = []
+    inner = Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or inner(df, name))
+    Q.fit(docs, marks)
+    lines = plans[0].splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("MapInArrow" in line for line in lines[join:])
+    assert not any("MapInArrow" in line for line in lines[:join])
