@@ -164,3 +164,14 @@ def test_nested_result_files(spark, tmp_path):
 
 def test_recipes_cover_the_sixteen_names():
     assert len(RECIPES) == 16
+
+
+def test_rows_of_many_passes_are_dealt_by_their_number(spark):
+    from sigloom.session import dealt
+
+    rows = spark.range(0, 100, 1, 24)
+    assert dealt(rows, 1).rdd.getNumPartitions() == 1
+    assert dealt(rows, 500).rdd.getNumPartitions() == 24
+    slots = spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(0, 100, 1, 1), 500).rdd.getNumPartitions() == slots
+    assert dealt(spark.range(0, 100, 1, 1), 2).count() == 100

@@ -262,3 +262,48 @@ def test_sparse_and_dense_vectors_mix(spark):
     df = spark.createDataFrame(rows, ["sample_id", "v"])
     got = df.select("sample_id", map_rows("v", 4, lambda x: x * 2).alias("w"))
     assert as_matrix(got, "w").tolist() == [[0, 4, 0, 10], [2, 0, 0, 8], [0, 0, 0, 0]]
+
+
+def test_narrow_polynomial_features_are_the_sketch_without_its_empty_columns(spark):
+    from sigloom.operators.margins import PolynomialSketch
+    from sigloom.operators.models import tensor_sketch
+
+    matrix = np.random.default_rng(3).normal(size=(20, 5))
+    df = vectors(spark, matrix)
+    for degree in (2, 3):
+        made = PolynomialSketch(inputCol="features", outputCol="p", size=256, degree=degree, seed=4).fit(df)
+        got = as_matrix(made.transform(df), "p")
+        random = np.random.default_rng(4)
+        parts = {"buckets": random.integers(0, 256, (degree, 5)), "signs": random.choice([-1.0, 1.0], (degree, 5)), "size": [256], "gamma": [0.2]}
+        want = tensor_sketch(matrix, parts)
+        used = np.abs(want).max(axis=0) > 1e-9
+        assert got.shape[1] <= 5**degree < 256
+        assert np.allclose(got, want[:, used])
+
+
+def test_feature_maps_are_applied_in_the_passes_of_a_linear_model(spark):
+    from pyspark.ml import PipelineModel
+    from sigloom.operators.margins import FourierFeatures, OneVsRestLinear
+
+    matrix = np.random.default_rng(5).normal(size=(80, 4))
+    df = vectors(spark, matrix).withColumn("label", (F.col("sample_id") % 2).cast("double"))
+    waves = FourierFeatures(inputCol="features", outputCol="waves", size=32, seed=2)
+    both = OneVsRestLinear(inputCol="features", regParam=0.01, maxIter=8, through=waves).fit(df)
+    first = waves.fit(df)
+    plain = OneVsRestLinear(inputCol="waves", regParam=0.01, maxIter=8).fit(first.transform(df))
+    assert isinstance(both, PipelineModel) and [m.getOutputCol() for m in both.stages] == ["waves", "scores"]
+    assert np.allclose(both.stages[1].parts["weights"], plain.parts["weights"])
+    assert np.allclose(as_matrix(both.transform(df), "scores"), as_matrix(plain.transform(first.transform(df)), "scores"))
+
+
+def test_a_batch_of_chunks_gives_pieces_one_by_one(spark, monkeypatch):
+    from sigloom.operators import svd
+
+    monkeypatch.setattr(svd, "_SUMS", svd.SIDE * 3)  # one piece is held
+    chunks = spark.createDataFrame(
+        [(b, s, [0, 1], [2, 3], [1.0, 2.0]) for b in range(3) for s in range(2)], svd._CHUNK
+    ).coalesce(1)
+    got = svd.times(chunks, spark.createDataFrame([(s, bytearray(np.ones((svd.SIDE, 3)).tobytes())) for s in range(2)], svd._PIECE), 3).collect()
+    found = {r.key: np.frombuffer(r.cells).reshape(svd.SIDE, 3) for r in got}
+    assert sorted(found) == [0, 1, 2]
+    assert all(piece[0].tolist() == [2.0] * 3 and piece[1].tolist() == [4.0] * 3 and not piece[2:].any() for piece in found.values())
