@@ -10,8 +10,9 @@ from sigloom.operators import selection as sel
 from sigloom.plans.grid import experiment_grid, grid_points
 from sigloom.plans.job import Experiment, Job, run_job
 from sigloom.plans.select import select_sequences
-from sigloom.sources.archives import read_archive
+from sigloom.sources.archives import read_archive, write_archives
 from sigloom.sources.metadata import read_metadata
+from workload import report_queries
 
 ENTRIES = [
     {"id": "e1", "subtype": "A", "recombinant": False},
@@ -62,6 +63,44 @@ def test_whole_archive_without_a_list(spark, tmp_path):
     assert read_archive(spark, str(tmp_path)).count() == 5
 
 
+def test_archives_in_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    zoo(tmp_path)
+    spark.conf.set("fs.viewfs.mounttable.store.link./zoo", f"file://{tmp_path}")
+    folder = "viewfs://store/zoo"
+    wanted = spark.createDataFrame([("zoo", "own/two.fa"), ("zoo", "gone.fa")], "archive string, member string")
+    assert [tuple(r) for r in read_archive(spark, folder, wanted).collect()] == [("zoo", "own/two.fa", ">x\nTTTT\n")]
+    assert {tuple(r) for r in read_archive(spark, folder).collect()} == {tuple(r) for r in read_archive(spark, str(tmp_path)).collect()}
+    docs = [(2, "en", "web", "AC"), (4, "en", "web", None)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(report_queries, "scratch", lambda spark, name: f"{folder}/{name}")
+    found = report_queries.archive_scan(spark, f"{tmp_path}/in").collect()
+    assert [tuple(r) for r in found] == [(2, "AC")]
+
+
+def test_archive_scan_of_odd_ids(spark, tmp_path):
+    docs = [(-4, "AC"), (-3, "A"), (None, "C"), (6, "GG"), (6, "TT"), (6, "TT"), (8, ""), (2**62, "T")]
+    rows = spark.createDataFrame([(i, "en", "web", t) for i, t in docs], "doc_id long, lang string, source string, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(tuple(r) for r in report_queries.archive_scan(spark, str(tmp_path)).collect())
+    assert found == [(-4, "AC"), (6, "GG"), (6, "TT"), (6, "TT"), (2**62, "T")]
+
+
+def test_archives_are_cut_at_a_size(spark, tmp_path, monkeypatch):
+    rows = [(f"m{i}", "\u00fc" * 600_000) for i in range(60)] + [("last", "x\n\n")]
+    docs = spark.createDataFrame(rows, "member string, content string").coalesce(1)
+    write_archives(docs, f"{tmp_path}/out")
+    back = read_archive(spark, f"{tmp_path}/out", pattern="part-*").select("archive", F.regexp_extract("member", "([^/]*)$", 1), "content").collect()
+    assert sorted(r[1:] for r in back) == sorted(rows)
+    assert len({r[0] for r in back}) == 3
+    assert all(zipfile.is_zipfile(f) for f in (tmp_path / "out").glob("part-*"))
+
+
+def test_archive_without_members_among_others(spark, tmp_path):
+    zoo(tmp_path)
+    zipfile.ZipFile(tmp_path / "none.zip", "w").close()
+    assert {r["archive"] for r in read_archive(spark, str(tmp_path)).collect()} == {"zoo"}
+
+
 def test_entry_in_two_groups_is_two_rows(spark):
     meta = spark.createDataFrame([("e", 0, "A")], "id string, entry_no long, subtype string")
     groups = spark.createDataFrame([("g1", ["A", "B"]), ("g2", ["A", "A"])], "group string, values array<string>")
