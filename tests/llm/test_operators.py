@@ -14,11 +14,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.llm import (
-    exact_dedup, jaccard_join, language_model, license_scan, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup,
-    textops,
+    exact_dedup, jaccard_join, language_model, license_scan, mixing, packing, quality_classifier, quality_rules, sketch, substring_dedup,
+    suffix_dedup, textops,
 )
 from sigloom.llm.components import components
-from sigloom.llm.sketch import Sketch, count_bits
+from sigloom.llm.sketch import Sketch, bit_table, count_bits
 
 SMALL = Sketch(rows=2, bits=18)
 JOIN = jaccard_join.Settings(corpus=Sketch(rows=1, bits=20), candidates=Sketch(rows=1, bits=18))
@@ -130,6 +130,26 @@ def test_sketch_never_underestimates(spark):
         assert marked[counts >= level].all() and marked[counts < level].mean() < 0.2
 
 
+def test_sketch_in_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([("1 2 2 3",), ("3 4",)], "text string")
+
+    def parsed(batch):
+        return np.array([int(x) for t in batch.column("text").to_pylist() for x in t.split()], np.uint64)
+
+    near = bit_table(frame, parsed, Sketch(rows=2, bits=17), 1, 2)
+    spark.conf.set("fs.viewfs.mounttable.store.link./bits", f"file://{tmp_path}")
+    monkeypatch.setattr(sketch, "scratch", lambda spark, name: f"viewfs://store/bits/{name}")
+    far = bit_table(frame, parsed, Sketch(rows=2, bits=17), 1, 2)
+    assert near.sent is None and (far.all() == near.all()).all()
+
+    def marks(batches):
+        for batch in batches:
+            found = far.sketch.marked(np.array([1, 2, 3, 4, 5], np.uint64), far.level(1).value)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["found"])
+
+    assert [r[0] for r in frame.limit(1).mapInArrow(marks, "found boolean").collect()] == [False, True, True, False, False]
+
+
 def expect_substring(rows, width):
     first = {}
     for doc_id, text, *_ in sorted(rows):
