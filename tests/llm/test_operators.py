@@ -137,8 +137,8 @@ def test_sketch_in_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
         return np.array([int(x) for t in batch.column("text").to_pylist() for x in t.split()], np.uint64)
 
     near = bit_table(frame, parsed, Sketch(rows=2, bits=17), 1, 2)
-    spark.conf.set("fs.viewfs.mounttable.store.link./bits", f"file://{tmp_path}")
-    monkeypatch.setattr(sketch, "scratch", lambda spark, name: f"viewfs://store/bits/{name}")
+    spark.conf.set("fs.viewfs.mounttable.sketch.link./bits", f"file://{tmp_path}")
+    monkeypatch.setattr(sketch, "scratch", lambda spark, name: f"viewfs://sketch/bits/{name}")
     far = bit_table(frame, parsed, Sketch(rows=2, bits=17), 1, 2)
     assert near.sent is None and (far.all() == near.all()).all()
 
