@@ -24,13 +24,15 @@ from sigloom.operators.skew import salted_join
 
 _LATE = np.uint64(1 << 63)
 BLOCK = 128
+_LETTERS = 6  # of a word and the space behind it, about
 
 
 @dataclass(frozen=True)
 class Settings:
     """Shingle width, threshold in percent, sketch shapes, and the count from which a shingle comes last.
 
-    The sketches only spare work and set the order: results do not depend on them.
+    The sketches only spare work and set the order: results do not depend on them. Their sizes are the least ones: the corpus'
+    grows to two cells a shingle, the candidates' to four, as far as ``Sketch.grown`` allows.
     """
 
     width: int = 5
@@ -137,13 +139,15 @@ def candidate_sets(texts: DataFrame, settings: Settings) -> DataFrame:
 
     A set can only be linked with another text's if the threshold's share of it is estimated to occur in two documents.
     """
-    seen = bit_table(texts.select("text"), lambda batch: shingles(batch.column("text"), settings.width)[0], settings.corpus, 2)
+    letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    corpus = settings.corpus.grown(2 * letters // _LETTERS)
+    seen = bit_table(texts.select("text"), lambda batch: shingles(batch.column("text"), settings.width)[0], corpus, 2)
 
     def run(batches):
         for batch in small(batches):
             tokens, at = shingles(batch.column("text"), settings.width)
             n = np.diff(at)
-            sums = np.concatenate(([0], np.cumsum(settings.corpus.marked(tokens, seen.value))))
+            sums = np.concatenate(([0], np.cumsum(corpus.marked(tokens, seen.value))))
             twice = sums[at[1:]] - sums[at[:-1]]
             can = (n > 0) & (100 * twice >= settings.percent * n)
             raw = [tokens[at[i] : at[i + 1]].tobytes() if ok else None for i, ok in enumerate(can.tolist())]
@@ -157,93 +161,95 @@ def candidate_sets(texts: DataFrame, settings: Settings) -> DataFrame:
     return stored(texts.mapInArrow(run, schema), "shingle-sets")
 
 
-def prefixes(sets: DataFrame, settings: Settings, shared_bits, late_bits) -> DataFrame:
-    """First shingles of every candidate set that may occur in another: token, sig, n, place, loose."""
+def prefixes(sets: DataFrame, settings: Settings, order: Sketch, shared_bits, late_bits) -> DataFrame:
+    """First shingles of every candidate set that may occur in another: token, id, n, place, share (of loose shingles, in thousandths)."""
 
     def run(batches):
         for batch in batches:
-            sigs, cells = batch.column("sig").to_pylist(), []
+            ids, loose = (batch.column(c).to_numpy() for c in ("id", "loose"))
+            cells = []
             for i, raw in enumerate(batch.column("tokens").to_pylist()):
-                tokens = _ordered(raw, late_bits.value, settings.candidates)
+                tokens = _ordered(raw, late_bits.value, order)
                 n = len(tokens)
                 first = tokens[: n - -(-settings.percent * n // 100) + 1]
-                place = np.flatnonzero(settings.candidates.marked(first & ~_LATE, shared_bits.value))
-                cells.append((np.full(len(place), i), first[place].view(np.int64), np.full(len(place), n), place))
-            if not cells:
-                continue
-            owner, token, n, place = (np.concatenate(x) for x in zip(*cells))
-            took = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(sigs, pa.binary()).take(took), pa.array(n, pa.int64()), pa.array(place, pa.int64()), batch.column("loose").take(took)],
-                ["token", "sig", "n", "place", "loose"],
-            )
+                place = np.flatnonzero(order.marked(first & ~_LATE, shared_bits.value))
+                cells.append([first[place].view(np.int64), *(np.full(len(place), x) for x in (ids[i], n)), place, np.full(len(place), 1000 * loose[i] // n)])
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*cells)], ["token", "id", "n", "place", "share"])
 
-    return sets.select("sig", "tokens", "loose").mapInArrow(run, "token bigint, sig binary, n bigint, place bigint, loose bigint")
+    return sets.select("id", "tokens", "loose").mapInArrow(run, "token bigint, id bigint, n bigint, place bigint, share bigint")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings, late_bits) -> DataFrame:
-    """The linked ones of ``pairs`` (a, probe): a, b.
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings, order: Sketch, late_bits) -> DataFrame:
+    """The linked ones of ``pairs`` (a, probe) of different sets: a, b.
 
     The sets to be compared with one probe are dealt into blocks of about ``BLOCK``, each one a prefix tree which the
     probe walks; a probe with very many candidates has as many blocks.
     """
     sizes = pairs.groupBy("probe").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     dealt = salted_join(pairs, sizes, ["probe"], ["a"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
-    own = sets.select(F.col("sig").alias("a"), "tokens")
+    own = sets.select(F.col("id").alias("a"), "tokens")
     members = dealt.select("a", "probe", "block").join(own, "a").select("probe", "block", "a", "tokens")
     probes = sizes.join(own.withColumnRenamed("a", "probe"), "probe").select(
-        "probe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("a"), "tokens"
+        "probe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("probe").alias("a"), "tokens"
     )
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        is_probe = group["a"].isna()
+        is_probe = group["a"] == group["probe"]
         if not is_probe.any() or is_probe.all():
             return pd.DataFrame({"a": [], "b": []})
-        probe = _ordered(group["tokens"][is_probe].iloc[0], late_bits.value, settings.candidates)
+        probe = _ordered(group["tokens"][is_probe].iloc[0], late_bits.value, order)
         rest = group[~is_probe]
-        tree = PrefixTree([_ordered(raw, late_bits.value, settings.candidates) for raw in rest["tokens"]])
+        tree = PrefixTree([_ordered(raw, late_bits.value, order) for raw in rest["tokens"]])
         hits = tree.links(probe, settings.percent)
         return pd.DataFrame({"a": rest["a"].iloc[hits].to_numpy(), "b": group["probe"].iloc[0]})
 
-    return members.unionByName(probes).groupBy("probe", "block").applyInPandas(walk, "a binary, b binary")
+    return members.unionByName(probes).groupBy("probe", "block").applyInPandas(walk, "a bigint, b bigint")
+
+
+def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components (token, id, n, place, comp) that may be linked: a, probe."""
+    x, y = entries.alias("x"), entries.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    # at their first common shingle, linked sets still pass this bound on what can follow; the later ones may fail it
+    most = 1 + F.least(n - F.col("x.place") - 1, m - F.col("y.place") - 1)
+    fits = (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
+        & (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * most >= percent * (n + m))
+    )
+    return x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("probe")).distinct()
 
 
 def set_links(sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links between different candidate sets that connect all that are linked: a, b.
+    """Links between different candidate sets (id, tokens, loose) that connect all that are linked: a, b.
 
     First every set is compared with the most central set among those it shares most buckets with. Only pairs whose components
     still differ are then compared one by one, so a large group of similar sets never gives all its pairs.
     """
+    kept = (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8
+    order = settings.candidates.grown(4 * kept)
     bits = bit_table(
         sets.select("tokens"), lambda batch: np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64),
-        settings.candidates, 2, settings.frequent, column="tokens",
+        order, 2, settings.frequent, column="tokens",
     )
     shared_bits, late_bits = bits.level(0), bits.level(1)
-    entries = stored(prefixes(sets, settings, shared_bits, late_bits), "prefixes")
-    t = settings.percent / 100
-    central = F.struct((F.col("loose") / F.col("n")).alias("share"), "sig", "n")
+    entries = stored(prefixes(sets, settings, order, shared_bits, late_bits), "prefixes")
+    central = F.struct("share", "id", "n")
     buckets = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(central).alias("rep")).where("size > 1")
-    buckets = buckets.select("token", F.col("rep.sig").alias("probe"), F.col("rep.n").alias("m"))
-    met = entries.select("token", "sig", "n").join(buckets, "token").where((F.col("sig") != F.col("probe")) & (F.col("n") >= t * F.col("m")) & (F.col("m") >= t * F.col("n")))
-    shared = met.groupBy("sig", "probe").agg(F.count(F.lit(1)).alias("times"))
-    best = shared.groupBy("sig").agg(F.max(F.struct("times", "probe")).alias("best")).select(F.col("sig").alias("a"), F.col("best.probe").alias("probe"))
-    first = stored(confirmed(stored(best, "first-pairs"), sets, settings, late_bits), "first-links")
+    buckets = buckets.select("token", F.col("rep.id").alias("probe"), F.col("rep.n").alias("m"))
+    # most shingles of a prefix that pass the sketch are in no other prefix: only those of two are read again
+    entries = stored(entries.select("token", "id", "n", "place").join(buckets, "token"), "shared-prefixes")
+    near = (F.col("id") != F.col("probe")) & (100 * F.col("n") >= settings.percent * F.col("m")) & (100 * F.col("m") >= settings.percent * F.col("n"))
+    shared = entries.where(near).groupBy("id", "probe").agg(F.count(F.lit(1)).alias("times"))
+    best = shared.groupBy("id").agg(F.max(F.struct("times", "probe")).alias("best")).select(F.col("id").alias("a"), F.col("best.probe").alias("probe"))
+    first = stored(confirmed(stored(best, "first-pairs"), sets, settings, order, late_bits), "first-links")
     comp = components(first)
 
-    open_ = salted_join(entries, comp.withColumnRenamed("node", "sig"), ["sig"], ["token"], "left")
-    open_ = stored(open_.withColumn("comp", F.coalesce("comp", "sig")), "open-prefixes")
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    rest = stored(open_.join(mixed, "token", "left_semi"), "mixed-prefixes")
-    x, y = rest.alias("x"), rest.alias("y")
-    # at their first common shingle, linked sets still pass this bound on what can follow; the later ones may fail it
-    most = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    fits = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-        & (F.col("x.n") >= t * F.col("y.n")) & (F.col("y.n") >= t * F.col("x.n"))
-        & ((100 + settings.percent) * most >= settings.percent * (F.col("x.n") + F.col("y.n")))
-    )
-    pairs = x.join(y, fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("probe")).distinct()
-    second = stored(confirmed(stored(pairs, "second-pairs"), sets, settings, late_bits), "second-links")
+    entries = entries.drop("probe", "m").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    entries = stored(entries.withColumn("comp", F.coalesce("comp", "id")), "open-prefixes")
+    mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    rest = stored(entries.join(mixed, "token", "left_semi"), "mixed-prefixes")
+    second = stored(confirmed(stored(open_pairs(rest, settings.percent), "second-pairs"), sets, settings, order, late_bits), "second-links")
     return first.unionByName(second)
 
 
@@ -256,8 +262,11 @@ def jaccard_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     rows = candidate_sets(narrow(docs), settings)
     grouped = rows.where("tokens IS NOT NULL").groupBy("sig").agg(F.first("tokens").alias("tokens"), F.max("loose").alias("loose"))
-    sets = stored(grouped, "distinct-sets")
-    comp = stored(components(set_links(sets, settings)), "set-components")
+    sets = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")  # numbers are half as long as digests
+    found = components(set_links(sets, settings))
+    names = sets.select("id", "sig")
+    found = found.join(names.withColumnRenamed("id", "node"), "node").select(F.col("sig").alias("node"), F.col("comp").alias("id"))
+    comp = stored(salted_join(found, names, ["id"], ["node"]).select("node", F.col("sig").alias("comp")), "set-components")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = linked.groupBy("comp").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members"))

@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from sigloom.llm import language_model
+from sigloom.llm import jaccard_join, language_model
 from sigloom.llm.components import components
 from sigloom.llm.language_model import narrowest, unpacked
+from sigloom.llm.sketch import MOST_BITS, Sketch
 
 
 @pytest.mark.parametrize("columns", [1, 4])
@@ -40,3 +41,21 @@ def test_components_of_long_chains(spark):
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(found) == 802
     assert all(r["comp"] == (0 if r["node"] <= 400 else 1000) for r in found)
+
+
+def test_sketches_grow_with_their_keys():
+    sizes = [(0, 20), (1, 20), (2**20, 20), (2**20 + 1, 21), (2**27 + 1, 28), (2**50, MOST_BITS)]
+    assert [(cells, Sketch(rows=1, bits=20).grown(cells).bits) for cells, _ in sizes] == sizes
+
+
+def test_linked_sets_of_different_components_are_compared(spark):
+    rng, percent = random.Random(7), 80
+    sets = [sorted(rng.sample(range(1, 400), rng.randint(3, 60))) for _ in range(30)]
+    for i in range(30):
+        edited = set(sets[i]) - set(rng.sample(sets[i], len(sets[i]) // rng.choice([6, 10, 30])))
+        sets.append(sorted(edited | set(rng.sample(range(1, 400), rng.randint(0, 2)))))
+    rows = [(t, i, len(s), place, i) for i, s in enumerate(sets) for place, t in enumerate(s[: len(s) - -(-percent * len(s) // 100) + 1])]
+    entries = spark.createDataFrame(rows, "token long, id long, n long, place long, comp long")
+    found = {(r.a, r.probe) for r in jaccard_join.open_pairs(entries, percent).collect()}
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+    assert len(linked) > 10 and linked <= found
