@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.operators import distances as D
-from sigloom.operators import pairblocks
+from sigloom.operators import eigen, embedding, pairblocks
+from sigloom.sources import tables
 
 
 def plan(df):
@@ -71,3 +72,49 @@ def test_one_sample_has_no_pairs_and_no_metric(spark, monkeypatch):
     one = ids.where("sample_id = '5'")
     full = D.symmetrize(D.distances(cells.where("sample_id = '5'"), ["info"], one, "feature", "value", width=6), one)
     assert full.count() == 0 and D.row_statistics(full, ["a"]).count() == 0
+
+
+def test_vectors_are_made_whole_without_a_shuffle_of_cells(spark, monkeypatch):
+    cells, ids, _ = made(spark, monkeypatch)
+    monkeypatch.setattr(D, "VECTOR_ROWS", 3)
+    monkeypatch.setattr(D, "WIDE_BLOCK", 5)
+    full, train = D.symmetrize(D.distances(cells, ["info"], ids, "feature", "value", width=6), ids), ids.where("sample_id % 3 <> 1")
+    whole, packed = D.distance_features(full, train), D.distance_features(full.select("*"), train)
+    assert "Exchange" not in plan(whole) and whole.schema == packed.schema
+    assert numbers(whole.select("sample_id", F.concat_ws(",", "features"))) == numbers(packed.select("sample_id", F.concat_ws(",", "features")))
+    # a matrix that lacks samples of its pairs is read as rows
+    part = D.symmetrize(D.distances(cells, ["info"], ids, "feature", "value", width=6), train)
+    assert "Exchange" in plan(D.distance_features(part, train))
+
+
+def test_scaling_does_not_store_the_matrix(spark, monkeypatch):
+    cells, ids, matrix = made(spark, monkeypatch, int)
+    full = D.symmetrize(D.distances(cells, ["manhat"], ids, "feature", "value", width=6), ids)
+    monkeypatch.setattr(eigen, "SIDE", 4)
+    monkeypatch.setattr(eigen, "BROADCAST_COLUMNS", 13 * 40)
+    tables_of = [eigen.PairMatrix(m, F.col("d") * F.col("d"), ids, centered=True, power=2) for m in (full, full.select("*"))]
+    assert tables_of[0].chunks is None and tables_of[1].chunks is not None
+    d = np.abs(matrix[:, None] - matrix[None]).sum(axis=2) ** 2
+    c = np.eye(13) - 1 / 13
+    wanted = np.sort(np.abs(np.linalg.eigvalsh(c @ d @ c / -2)))[::-1][:3]
+    assert all(np.allclose(np.abs(eigen.leading_pairs(t, 3)[0]), wanted) for t in tables_of)
+
+
+def test_centered_cells_are_added_up_by_blocks(spark, monkeypatch):
+    cells, ids, _ = made(spark, monkeypatch)
+    full = D.symmetrize(D.distances(cells, ["manhat"], ids, "feature", "value", width=6), ids)
+    centered = embedding.double_center(full)
+    rows = embedding.double_center(full.select("*"))
+    assert pairblocks.blocks_of(centered) and not pairblocks.blocks_of(rows)
+    sums = [D.row_statistics(t, ["a"], ["v"], ["top", "squares"]) for t in (centered, rows)]
+    assert numbers(sums[0]) == numbers(sums[1])
+
+
+def test_metrics_are_written_one_by_one(spark, monkeypatch, tmp_path):
+    cells, ids, _ = made(spark, monkeypatch)
+    pairs = D.distances(cells, ["manhat", "info"], ids, "feature", "value", width=6)
+    tables.write_distances(pairs.select("*"), str(tmp_path / "rows"))
+    tables.write_distances(pairs.select("*"), str(tmp_path / "blocks"))
+    tables.write_distances(pairs, str(tmp_path / "blocks"))  # over another table
+    rows, blocks = (tables.read_distances(spark, str(tmp_path / x)).select("metric", "a", "b", "d") for x in ("rows", "blocks"))
+    assert numbers(rows) == numbers(blocks) and blocks.count() == 13 * 12
